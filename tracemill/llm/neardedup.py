@@ -8,12 +8,14 @@ count all documents; those above ``RARE * N`` are what is broadcast, at most
 (mean distinct words a document) / RARE entries whatever the input.
 
 Signatures are improved consistent weighted samples; bands of them bring
-documents together.  In each bucket all are compared with the first; those that
-it does not reach are compared with the first of them; for what then is still
-apart, every document outside the first's component is compared with all in
-other components, so that no link between two texts of a bucket is lost.
-Comparison is by weighted Jaccard similarity on all shingles; components of the
-links are the classes.
+documents together.  In each bucket all are compared with the first.  Buckets
+whose documents then are not all in one component are compared further, block
+by block: every document outside the largest component with all documents of
+other components, in the first band that the two share, so that no link between
+two texts of a bucket is lost and no pair is made twice.  Pairs of which fewer
+than ``LEAST_EQUAL`` samples of 64 agree are passed over (at similarity 0.8 that
+happens once in 100,000); all others are compared by weighted Jaccard similarity
+on all shingles.  Components of the links are the classes.
 
 Defined results
     words are runs of letters, digits and underscores, in lower case.  Texts of
@@ -31,6 +33,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .graph import components
+from .matching import candidate_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -46,14 +50,11 @@ BANDS, ROWS = 16, 4
 #: Words in a smaller share of documents than this weigh alike.
 RARE = 1e-3
 #: Parameters of the samples are drawn for so many shingle classes.
-DRAWS = 1 << 15
+DRAW_BITS = 14
 SEED = 17
-#: Documents compared with one leader in one task.
-GROUP_ROWS = 256
-#: Up to so many row numbers (8 bytes each) are broadcast to fetch their texts.
-BROADCAST_ROWS = 500_000
+#: Equal samples that a pair needs to be compared in full.
+LEAST_EQUAL = 38
 MEMO_WORDS = 300_000
-BATCH = 64
 _WORDS = re.compile(r"\w+").findall
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -68,40 +69,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Features:
-    """Hashes and weights of a text's shingles."""
+class Features(dict):
+    """Hashes and weights of a text's shingles; the dictionary numbers the words met so far."""
 
     def __init__(self, frequent: dict[str, int], documents: int):
+        super().__init__()
         self.frequent, self.documents = frequent, max(documents, 1)
-        self.memo: dict[str, tuple[int, float]] = {}
+        self.hashes, self.idfs = np.zeros(1024, np.uint64), np.zeros(1024)
+
+    def __reduce__(self):
+        return Features, (self.frequent, self.documents)
 
     def idf(self, word: str) -> float:
         df = max(self.frequent.get(word, 0), RARE * self.documents)
         return 1 + math.log(self.documents / df) / math.log(1 / RARE)
 
-    def _word(self, word: str) -> tuple[int, float]:
-        found = self.memo.get(word)
-        if found is None:
-            found = (int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"), self.idf(word))
-            if len(self.memo) < MEMO_WORDS:
-                self.memo[word] = found
-        return found
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.hashes):
+            self.hashes, self.idfs = np.resize(self.hashes, 2 * at), np.resize(self.idfs, 2 * at)
+        self.hashes[at] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self.idfs[at] = self.idf(word)
+        self[word] = at
+        return at
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes in order, and their weights."""
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0)
-        pairs = list(map(self._word, words))
-        h = np.array([p[0] for p in pairs], np.uint64)
-        w = np.array([p[1] for p in pairs])
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        h, w = self.hashes[at], self.idfs[at]
         k = min(SHINGLE_WORDS, len(words))
         n = len(words) - k + 1
-        total, idf = np.zeros(n, np.uint64), np.zeros(n)
-        for j in range(k):
-            total = _mix(total + h[j : j + n] * _A[j])
+        total, idf = h[:n] * _A[0], w[:n].copy()
+        for j in range(1, k):
+            total += h[j : j + n] * _A[j]
             idf += w[j : j + n]
-        hashes, first, tf = np.unique(total, return_index=True, return_counts=True)
-        return hashes, tf * idf[first] / k
+        total = _mix(total)
+        order = np.argsort(total)
+        total, idf = total[order], idf[order]
+        first = np.concatenate([[0], np.flatnonzero(total[1:] != total[:-1]) + 1])
+        tf = np.diff(np.append(first, n))
+        return total[first], tf * idf[first] / k
 
 
 class Sampler:
@@ -109,20 +120,23 @@ class Sampler:
 
     def __init__(self, functions: int = BANDS * ROWS, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        shape = (DRAWS, functions)
-        self.r = rng.gamma(2, 1, shape).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2, 1, shape)).astype(np.float32)
-        self.b = rng.random(shape, np.float32)
-        self.inverse = 1 / self.r
+        shape = (1 << DRAW_BITS, functions)
+        r, c, b = rng.gamma(2, 1, shape), rng.gamma(2, 1, shape), rng.random(shape)
+        self.tables = np.stack([1 / r, b, r, np.log(c) - r * (1 - b)], axis=1).astype(np.float32)
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One uint64 a function.  A shingle's parameters are those of its class."""
-        at = (hashes & np.uint64(DRAWS - 1)).astype(np.int64)
-        r, b = self.r[at], self.b[at]
-        t = np.floor(np.log(weights, dtype=np.float32, casting="unsafe")[:, None] * self.inverse[at] + b)
-        a = self.log_c[at] - r * (t - b + 1)
-        low = a.argmin(axis=0)
-        level = t[low, np.arange(t.shape[1])].astype(np.int64).astype(np.uint64)
+        """One uint64 a function.  A shingle's draws are those of its hash's first
+        bits, so that hashes in order read the tables in order."""
+        drawn = self.tables[(hashes >> np.uint64(64 - DRAW_BITS)).astype(np.int64)]
+        t = drawn[:, 0] * np.log(weights).astype(np.float32)[:, None]
+        t += drawn[:, 1]
+        np.floor(t, out=t)
+        a = drawn[:, 2] * t
+        np.subtract(drawn[:, 3], a, out=a)
+        rows, cols = np.nonzero(a == a.min(axis=0))
+        low = np.empty(a.shape[1], np.int64)
+        low[cols[::-1]] = rows[::-1]  # of equal ones the first
+        level = t[low, np.arange(len(low))].astype(np.int64).astype(np.uint64)
         return _mix(hashes[low] ^ _mix(level + _A[0]))
 
 
@@ -134,27 +148,18 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    common = np.minimum(x[1][i], y[1][j]).sum()
-    union = x[1].sum() + y[1].sum() - common
-    return float(common / union) if union else 0.0
-
-
 def frequencies(numbered: DataFrame) -> tuple[dict[str, int], int]:
     """Words in more than ``RARE`` of the documents, with their counts, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        docs = 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["word", "df"])
 
         for batch in batches:
-            for text in batch.column(0):
-                docs += 1
-                seen.update(set(words_of(text.as_py())))
+            for text in batch.column(0).to_pylist():
+                seen.update(set(words_of(text)))
                 if len(seen) > 2 * MEMO_WORDS:
                     yield flush()
                     seen.clear()
@@ -167,155 +172,76 @@ def frequencies(numbered: DataFrame) -> tuple[dict[str, int], int]:
     return {r[0]: r[1] for r in counts.where(F.col("df") > least).collect()}, n
 
 
-def signatures(numbered: DataFrame, features) -> DataFrame:
-    """doc_id, row, digest (of the words; null without any) and bands of each document."""
+def signatures(numbered: DataFrame, matcher) -> DataFrame:
+    """doc_id, row, digest (of the words; null without any), bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, sample = features.value, _sampler()
+        make, sample = matcher.value.make, _sampler()
         for batch in batches:
             digests, bands = [], []
-            for text in batch.column(2):
-                words = words_of(text.as_py())
-                if not words:
-                    digests.append(None)
-                    bands.append(None)
-                    continue
-                digests.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                bands.append(band_keys(sample(*make(words))))
+            for text in batch.column(2).to_pylist():
+                words = words_of(text)
+                drawn = sample(*make(words)) if words else None
+                digests.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
+                bands.append(band_keys(drawn) if words else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "row", "digest", "bands"],
             )
 
-    return numbered.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, digest binary, bands array<long>")
+    schema = "doc_id long, row long, digest binary, bands array<long>"
+    return numbered.select("doc_id", "row", "text").mapInArrow(run, schema)
 
 
-_held: list[Sampler] = []
+@cache
+def _sampler() -> Sampler:
+    return Sampler()
 
 
-def _sampler() -> Sampler:
-    if not _held:
-        _held.append(Sampler())
-    return _held[0]
-
-
-def fetch(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``numbered`` whose numbers ``rows`` lists, written."""
-    listed = written(rows.select("row").distinct(), "rows")
-    if listed.count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
-    return written(numbered.join(listed, "row", "left_semi"), "texts")
-
-
-def verify(edges: DataFrame, numbered: DataFrame, features) -> DataFrame:
-    """The edges (a, b) of at least ``SIMILARITY``, with it.
-
-    Documents meet the leader ``a`` in groups of ``GROUP_ROWS``; a leader with
-    more is sent to as many groups.
-    """
-    edges = written(edges, "edges")
-    texts = fetch(numbered.select("row", "text"), edges.select(F.explode(F.array("a", "b")).alias("row")))
-    groups = edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
-    members = (
-        edges.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups").cast("int"))
-        .select("a", "salt", F.col("b").alias("row"), F.lit(1).alias("role"))
-    )
-    leaders = groups.select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.col("a").alias("row"), F.lit(0).alias("role")
-    )
+class Matcher:
+    """How two documents are compared."""
+
+    similarity, least_equal = SIMILARITY, LEAST_EQUAL
+
+    def __init__(self, make: Features):
+        self.make = make
+
+    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return self.make(words_of(text))
 
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        make = features.value
-        roles, rows = table.column("role").to_pylist(), table.column("row").to_pylist()
-        texts = table.column("text")
-        leader = make(words_of(texts[roles.index(0)].as_py())) if 0 in roles else None
-        out = []
-        for k, (role, row) in enumerate(zip(roles, rows, strict=True)):
-            if role and leader is not None:
-                similarity = weighted_jaccard(leader, make(words_of(texts[k].as_py())))
-                if similarity >= SIMILARITY:
-                    out.append((row, similarity))
-        return pa.table(
-            {"a": pa.array([key[0].as_py()] * len(out), pa.int64()), "b": pa.array([o[0] for o in out], pa.int64()), "similarity": pa.array([o[1] for o in out], pa.float64())}
-        )
-
-    met = members.union(leaders).join(texts, "row").select("a", "salt", "role", "row", "text")
-    return written(met.groupBy("a", "salt").applyInArrow(compare, "a long, b long, similarity double"), "verified")
-
-
-def _edges(found: DataFrame) -> DataFrame:
-    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """``buckets`` with the component of each row."""
-    parts = components(links)
-    return buckets.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-
-
-def candidate_links(reps: DataFrame, numbered: DataFrame, features) -> DataFrame:
-    """Verified links (a, b, similarity) among ``reps`` (row, bands)."""
-    keys = reps.select("row", F.explode("bands").alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(keys.join(firsts, "key").select("key", "row", "first"), "buckets")
-    links = verify(_edges(buckets.select(F.col("first").alias("a"), F.col("row").alias("b"))), numbered, features)
-    tested = _edges(buckets.select(F.col("first").alias("a"), F.col("row").alias("b")))
-
-    def apart(links: DataFrame) -> DataFrame:
-        """Rows of buckets with the component of the row and of the bucket's first."""
-        rows = _labelled(buckets, links.select("a", "b"))
-        lead = rows.where("row = first").select("key", F.col("label").alias("main")).distinct()
-        return written(rows.join(lead, "key").where("label <> main").select("key", "row", "label", "first", "main"), "apart")
-
-    rest = apart(links)
-    if not rest.isEmpty():
-        second = rest.groupBy("key").agg(F.min("row").alias("second"))
-        again = _edges(rest.join(second, "key").select(F.col("second").alias("a"), F.col("row").alias("b")))
-        new = again.join(tested, ["a", "b"], "left_anti")
-        links = written(links.union(verify(new, numbered, features)), "links")
-        tested = tested.union(again).distinct()
-        rest = apart(links)
-        # Whatever is still outside its bucket's main component, with all of other components.
-        rows = _labelled(buckets.join(rest.select("key").distinct(), "key", "left_semi"), links.select("a", "b"))
-        cross = rest.select("key", F.col("row").alias("a"), F.col("label").alias("own")).join(
-            rows.select("key", F.col("row").alias("b"), "label"), "key"
-        ).where("own <> label")
-        new = written(_edges(cross).join(tested, ["a", "b"], "left_anti"), "cross")
-        if not new.isEmpty():
-            links = written(links.union(verify(new, numbered, features)), "links")
-    return links
+    def samples(self, texts: list[str]) -> np.ndarray:
+        return np.stack([_sampler()(*self.features(t)) for t in texts])
 
 
 def near_dedup(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, row, class_id, class_size, links, kept."""
+    """A row for each row of ``docs``: doc_id, row, class_id, class_size, kept."""
     spark = docs.sparkSession
     numbered = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")
     )
-    features = spark.sparkContext.broadcast(Features(*frequencies(numbered)))
-    table = written(signatures(numbered, features), "signatures")
+    matcher = spark.sparkContext.broadcast(Matcher(Features(*frequencies(numbered))))
+    table = written(signatures(numbered, matcher), "signatures")
     same = table.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"))
     reps = table.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "bands")
-    links = candidate_links(reps, numbered, features)
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    links = candidate_links(reps, numbered.select("row", "text"), matcher)
     parts = components(links.select("a", "b")).select(F.col("node").alias("rep"), "label")
     # Copies of one text take the class of their representative, part of the input by part.
     part = F.shiftright("row", 33).alias("part")
     local = (
         table.where("digest is not null").select(part, "digest").distinct()
-        .join(same, "digest").join(parts, "rep", "left").join(ends, "rep", "left")
+        .join(same, "digest").join(parts, "rep", "left")
     )
     classed = (
         table.select("doc_id", "row", "digest", part)
         .join(local, ["part", "digest"], "left")
         .withColumn("class", F.coalesce("label", "rep", "row"))
         .withColumn("kind", F.when(F.col("label").isNotNull(), 1).otherwise(0))
-        .select("doc_id", "row", "class", "kind", part, F.coalesce("links", F.lit(0)).alias("links"))
+        .select("doc_id", "row", "class", "kind", part)
     )
     classed = written(classed, "classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     tops = classed.groupBy("kind", "class").agg(F.min(order).alias("top"), F.count("*").alias("class_size"))
     near = classed.select("part", "kind", "class").distinct().join(tops, ["kind", "class"])
     return classed.join(near, ["part", "kind", "class"]).select(
-        "doc_id", "row", F.col("top.doc_id").alias("class_id"), "class_size", "links", (F.col("row") == F.col("top.row")).alias("kept")
+        "doc_id", "row", F.col("top.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("top.row")).alias("kept")
     )

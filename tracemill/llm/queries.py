@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, exactdedup, langid, materialise, neardedup, packing, sharding
+from . import ann, bytebpe, exactdedup, langid, linededup, materialise, neardedup, packing, pii, sharding
 from .common import documents, text_size
 
 
@@ -33,6 +33,13 @@ def op3_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("row")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir)).select(
+        F.col("record.doc_id").alias("doc_id"), "text", F.size("entities").cast("long").alias("n_entities"),
+        F.transform("entities", lambda e: e["kind"]).alias("kinds"),
+    )
+
+
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the shards hold, read back from their files, with what was to be there."""
     path, index = materialise.materialise(documents(spark, sf_dir))
@@ -60,11 +67,18 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(documents(spark, sf_dir)).select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "dropped",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_shards, op2_nearest, op3_packed, op5_training_order,
-        op6_byte_bpe, op7_language, op8_near_duplicates, op9_exact_duplicates,
+        op1_shards, op2_nearest, op3_packed, op4_surrogates, op5_training_order,
+        op6_byte_bpe, op7_language, op8_near_duplicates, op9_exact_duplicates, op10_lines,
     )
 }
 
