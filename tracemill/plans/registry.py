@@ -1,4 +1,399 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, with DuckDB SQL for the same results."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import adaptive, assemble, dedup, metrics
+from ..operators import grade as G
+from ..sources import jsonl
+from .fixtures import SQL, problem, samples, table, truth
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+SYSTEM = "Solve the problem. Give the answer in a box."
+KEY = ("problem", "line", "part", "supp")
+
+
+def query(sql: str, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def graded(spark: SparkSession, sf_dir: str, math: bool = False) -> DataFrame:
+    return G.grade(samples(spark, sf_dir), truth(spark, sf_dir), math)
+
+
+COUNTS = """count(*) AS total, count(*) FILTER (status = 'empty') AS "empty", count(*) FILTER (status = 'non_numeric') AS non_numeric,
+  count(*) FILTER (status = 'valid') AS "valid", count(*) FILTER (is_correct) AS correct,
+  count(*) FILTER (status = 'valid') - count(*) FILTER (is_correct) AS incorrect,
+  round(count(*) FILTER (is_correct) * 1.0::DOUBLE / count(*) * 100, 6) AS accuracy,
+  CASE WHEN count(*) FILTER (status = 'valid') > 0 THEN round(count(*) FILTER (is_correct) * 1.0::DOUBLE / count(*) FILTER (status = 'valid') * 100, 6) ELSE 0.0::DOUBLE END AS valid_accuracy"""
+
+
+# Sources -----------------------------------------------------------------------------------------
+
+@query("SELECT 'p ' || o_orderkey AS problem, CAST(o_custkey AS VARCHAR) AS answer FROM orders WHERE o_orderkey % 5 <> 0")
+def load_hash_answer(spark, sf_dir):
+    raw = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("p "), F.col("o_orderkey").cast("string")).alias("question"),
+        F.when(F.expr("o_orderkey % 5 <> 0"), F.concat(F.lit("so #### 1 and #### "), F.col("o_custkey").cast("string"), F.lit(" \n"))).otherwise("no answer").alias("answer"),
+    )
+    return jsonl.load_hash(raw)
+
+
+@query("""SELECT 'p ' || o_orderkey AS problem, CASE o_orderkey % 3 WHEN 0 THEN '\\frac{' || o_custkey || '}{2}' ELSE CAST(o_custkey AS VARCHAR) END AS answer,
+  o_orderpriority AS "type", CAST(NULL AS VARCHAR) AS "level" FROM orders WHERE o_orderkey % 5 <> 0""".replace("\\\\", "\\"))
+def load_boxed_answer(spark, sf_dir):
+    c = F.col("o_custkey").cast("string")
+    solution = (
+        F.when(F.expr("o_orderkey % 5 = 0"), F.concat(F.lit("open \\boxed{"), c))
+        .when(F.expr("o_orderkey % 3 = 0"), F.concat(F.lit("\\boxed{1} then \\boxed{\\frac{"), c, F.lit("}{2}} end")))
+        .otherwise(F.concat(F.lit("first \\fbox{ "), c, F.lit("} end")))
+    )
+    raw = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("p "), F.col("o_orderkey").cast("string")).alias("problem"), solution.alias("solution"),
+        F.col("o_orderpriority").alias("type"), F.lit(None).cast("string").alias("level"),
+    )
+    return jsonl.load_boxed(raw)
+
+
+# Text --------------------------------------------------------------------------------------------
+
+def _text(name: str, column: Callable, sql: str) -> None:
+    @query(SQL + f"SELECT problem, line, part, supp, {sql} AS v FROM a", name)
+    def run(spark, sf_dir):
+        return samples(spark, sf_dir).select(*KEY, column(F.col("answer")).alias("v"))
+
+
+_text("extract_boxed", X.extract_boxed, r"""CASE line WHEN 1 THEN q || ' \text{ units}' WHEN 4 THEN '\$1,00' || q
+  WHEN 5 THEN '\frac{' || (2 * q) || '}{2}' WHEN 7 THEN 'x+' || q ELSE '' END""")
+_text("clean_numeric", lambda a: X.clean(X.extract_boxed(a)), "CASE WHEN line IN (2, 3, 6) THEN '' ELSE fa END")
+_text("clean_math", lambda a: X.clean(X.extract_boxed(a), True), "CASE WHEN line IN (2, 3, 6) THEN '' ELSE fam END")
+_text("answer_fallback", X.answer_fallback, "CASE line WHEN 2 THEN CAST(q AS VARCHAR) ELSE '' END")
+_text("last_number", X.last_number, "CASE WHEN line IN (2, 3) THEN CAST(q AS VARCHAR) ELSE '' END")
+_text("math_fallback", X.math_fallback, "CASE line WHEN 2 THEN CAST(q AS VARCHAR) ELSE '' END")
+_text("final_answer_numeric", X.final_answer, "fa")
+_text("final_answer_math", lambda a: X.final_answer(a, True), "fam")
+_text("strip_think", lambda a: F.length(X.strip_think(a)), r"""CAST(CASE line WHEN 1 THEN length('So \boxed{' || q || ' \text{ units}}')
+  WHEN 2 THEN length('We get .**Answer:**  units.') + 1 + 2 * length(CAST(q AS VARCHAR)) WHEN 3 THEN length('The total is .') + length(CAST(q AS VARCHAR))
+  WHEN 4 THEN length('\boxed{\$1,00}') + length(CAST(q AS VARCHAR)) WHEN 5 THEN length('\boxed{\frac{}{2}}') + length(CAST(2 * q AS VARCHAR))
+  WHEN 6 THEN length('and then ') + length(CAST(q AS VARCHAR)) ELSE length('\boxed{x+}') + length(CAST(q AS VARCHAR)) END AS INT)""")
+
+
+@query(SQL + "SELECT CASE line WHEN 2 THEN 'answer' WHEN 3 THEN 'last_number' WHEN 6 THEN 'empty' ELSE 'boxed' END AS source, count(*) AS n FROM a GROUP BY 1")
+def extraction_provenance(spark, sf_dir):
+    return samples(spark, sf_dir).groupBy(X.answer_source(F.col("answer")).alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, len(list_filter(range(4, 81), lambda n: length(text) >= 8 * n
+  AND right(text, CAST(8 * n AS INT)) = repeat(left(right(text, CAST(8 * n AS INT)), CAST(n AS INT)), 8))) > 0 AS repeats FROM documents""")
+def repetition_flag(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.repeats_at_end(F.col("text")).alias("repeats"))
+
+
+# Grading -----------------------------------------------------------------------------------------
+
+@query(SQL + "SELECT problem, line, part, supp, fa AS final_answer FROM a WHERE line IN (6, 7)")
+def bad_rows(spark, sf_dir):
+    return G.bad_rows(samples(spark, sf_dir).withColumn("final_answer", X.final_answer(F.col("answer")))).select(*KEY, "final_answer")
+
+
+@query(SQL + "SELECT problem, line, part, supp, fa AS final_answer, ground_truth, status, is_correct FROM g")
+def grade_samples(spark, sf_dir):
+    return graded(spark, sf_dir).select(*KEY, "final_answer", "ground_truth", "status", "is_correct")
+
+
+@query(SQL + "SELECT problem, line, part, supp, fam AS final_answer, coalesce(fam <> '' AND fam = ground_truth, false) AS is_correct FROM g")
+def grade_samples_math(spark, sf_dir):
+    return graded(spark, sf_dir, True).select(*KEY, "final_answer", "is_correct")
+
+
+@query(SQL + f"SELECT {COUNTS} FROM g")
+def grade_summary(spark, sf_dir):
+    return metrics.summary(graded(spark, sf_dir))
+
+
+@query(SQL + f'SELECT "type", {COUNTS} FROM g GROUP BY "type"')
+def grade_by_type(spark, sf_dir):
+    return metrics.summary(graded(spark, sf_dir), "type")
+
+
+@query(SQL + f'SELECT "level", {COUNTS} FROM g GROUP BY "level"')
+def grade_by_level(spark, sf_dir):
+    return metrics.summary(graded(spark, sf_dir), "level")
+
+
+@query(SQL + f"SELECT round, {COUNTS} FROM g GROUP BY round")
+def grade_by_round(spark, sf_dir):
+    return metrics.summary(graded(spark, sf_dir), "round")
+
+
+@query(SQL + f"""SELECT 'all' AS kind, '' AS name, {COUNTS} FROM g
+  UNION ALL SELECT 'type', "type", {COUNTS} FROM g WHERE "type" IS NOT NULL GROUP BY "type"
+  UNION ALL SELECT 'level', "level", {COUNTS} FROM g WHERE "level" IS NOT NULL GROUP BY "level" """)
+def category_report(spark, sf_dir):
+    return metrics.category_report(graded(spark, sf_dir))
+
+
+@query(SQL + """, p AS (SELECT problem, bool_and(is_correct) AS every, bool_or(is_correct) AS anyone, max(ground_truth) IS NOT NULL AS known, count(*) AS n FROM g GROUP BY problem)
+  SELECT count(*) AS problems, count(*) FILTER (known) AS with_truth, count(*) FILTER (known AND every) AS all_correct,
+  count(*) FILTER (known AND anyone) AS any_correct, count(*) FILTER (known AND NOT anyone) AS none_correct,
+  round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS avg_samples FROM p""")
+def problem_level(spark, sf_dir):
+    return metrics.problem_level(graded(spark, sf_dir))
+
+
+@query(SQL + "SELECT DISTINCT problem FROM a WHERE problem NOT IN (SELECT problem FROM t)")
+def missing_truth(spark, sf_dir):
+    return G.missing_truth(graded(spark, sf_dir))
+
+
+@query(SQL + 'SELECT problem, line, part, supp, fa AS final_answer, ground_truth, "type", "level" FROM g WHERE is_correct')
+def correct_rows(spark, sf_dir):
+    return G.correct_rows(graded(spark, sf_dir)).select(*KEY, "final_answer", "ground_truth", "type", "level")
+
+
+@query(SQL + "SELECT problem, line, part, supp, fa AS final_answer, ground_truth FROM g WHERE NOT is_correct AND status = 'valid' AND ground_truth IS NOT NULL")
+def incorrect_rows(spark, sf_dir):
+    return G.incorrect_rows(graded(spark, sf_dir)).select(*KEY, "final_answer", "ground_truth")
+
+
+@query(SQL + "SELECT problem, line, part, supp, fa AS final_answer, ground_truth FROM g WHERE NOT is_correct AND status <> 'empty'")
+def incorrect_rows_adaptive(spark, sf_dir):
+    return G.incorrect_rows(graded(spark, sf_dir), adaptive=True).select(*KEY, "final_answer", "ground_truth")
+
+
+@query(SQL + """SELECT status, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM
+  (SELECT CASE WHEN status = 'valid' THEN CASE WHEN is_correct THEN 'correct' ELSE 'wrong' END ELSE status END AS status FROM g) GROUP BY status""")
+def error_taxonomy(spark, sf_dir):
+    g = graded(spark, sf_dir)
+    kind = F.when(F.col("status") != "valid", F.col("status")).when(F.col("is_correct"), "correct").otherwise("wrong")
+    counts = g.groupBy(kind.alias("status")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select("status", "n", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("share"))
+
+
+@query(SQL + ", c AS (SELECT problem, count(*) AS size FROM a GROUP BY problem) SELECT size, count(*) AS groups FROM c GROUP BY size")
+def group_size_histogram(spark, sf_dir):
+    return metrics.group_sizes(samples(spark, sf_dir), "problem")
+
+
+@query(SQL + """SELECT problem FROM g WHERE round = 1 GROUP BY problem HAVING NOT bool_or(is_correct)
+  AND problem IN (SELECT problem FROM g WHERE round > 1 AND is_correct)""")
+def error_correction_set(spark, sf_dir):
+    g = graded(spark, sf_dir)
+    return G.error_correction_set(g.where("round = 1"), g.where("round > 1"))
+
+
+@query(SQL + """, p AS (SELECT round, problem, bool_or(is_correct) AS covered, count(*) AS n FROM g GROUP BY ALL)
+  SELECT round, count(*) AS problems, count(*) FILTER (covered) AS covered, round(count(*) FILTER (covered) * 1.0::DOUBLE / count(*) * 100, 6) AS coverage,
+  round(CAST(sum(n) AS DOUBLE) / nullif(count(*) FILTER (covered), 0), 6) AS samples_per_covered FROM p GROUP BY round""")
+def coverage(spark, sf_dir):
+    return metrics.coverage(graded(spark, sf_dir), "round")
+
+
+_MODELS = ["line 1", "line 2", "line 3"]
+
+
+@query(SQL + """, r AS (SELECT "type", round(count(*) FILTER (line = 1 AND is_correct) * 1.0::DOUBLE / nullif(count(*) FILTER (line = 1), 0) * 100, 6) AS "line 1",
+  round(count(*) FILTER (line = 2 AND is_correct) * 1.0::DOUBLE / nullif(count(*) FILTER (line = 2), 0) * 100, 6) AS "line 2",
+  round(count(*) FILTER (line = 3 AND is_correct) * 1.0::DOUBLE / nullif(count(*) FILTER (line = 3), 0) * 100, 6) AS "line 3" FROM g WHERE line <= 3 GROUP BY "type")
+  SELECT *, CASE greatest(coalesce("line 1", -1), coalesce("line 2", -1), coalesce("line 3", -1)) WHEN coalesce("line 3", -1) THEN 'line 3' WHEN coalesce("line 2", -1) THEN 'line 2' ELSE 'line 1' END AS best FROM r""")
+def model_pivot(spark, sf_dir):
+    g = graded(spark, sf_dir).where("line <= 3").withColumn("model", F.concat(F.lit("line "), F.col("line").cast("string")))
+    return metrics.model_pivot(g, _MODELS)
+
+
+@query(SQL + f""", m AS (SELECT 'line ' || line AS model, {COUNTS} FROM g GROUP BY line)
+  SELECT model, accuracy, round(accuracy - (SELECT accuracy FROM m WHERE model = 'line 1'), 6) AS delta FROM m""")
+def baseline_delta(spark, sf_dir):
+    g = graded(spark, sf_dir).withColumn("model", F.concat(F.lit("line "), F.col("line").cast("string")))
+    return metrics.baseline_delta(metrics.summary(g, "model").select("model", "accuracy"), "line 1")
+
+
+# Deduplication -----------------------------------------------------------------------------------
+
+_VEC = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_GREEDY = _VEC + """, grp AS (SELECT label, list({'id': vec_id, 'v': v} ORDER BY vec_id) AS xs FROM e GROUP BY label),
+  kept AS (SELECT label, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x:
+    CASE WHEN len(list_filter(acc, lambda k: list_dot_product(k.v, x[1].v) > 0.3)) > 0 THEN acc ELSE list_concat(acc, x) END)).id AS vec_id FROM grp)"""
+
+
+@query(_GREEDY + "SELECT label, vec_id FROM kept")
+def greedy_dedup(spark, sf_dir):
+    return dedup.greedy_dedup(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3)
+
+
+@query(_GREEDY + """, b AS (SELECT label, count(*) AS before FROM e GROUP BY label), f AS (SELECT label, count(*) AS after FROM kept GROUP BY label)
+  SELECT CAST(sum(before) AS BIGINT) AS before, CAST(sum(after) AS BIGINT) AS after, CAST(sum(before) - sum(after) AS BIGINT) AS discarded,
+  round(CAST(sum(after) AS DOUBLE) / sum(before) * 100, 6) AS retention, count(*) FILTER (after = 1) AS one, count(*) FILTER (after = 2) AS two,
+  count(*) FILTER (after >= 3) AS more FROM b LEFT JOIN f USING (label)""")
+def dedup_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return metrics_dedup(e)
+
+
+def metrics_dedup(e: DataFrame) -> DataFrame:
+    return dedup.dedup_stats(e, dedup.greedy_dedup(e, "label", "vec_id", "embedding", 0.3), "label")
+
+
+_POSITIONS = _VEC + """, x AS (SELECT row_number() OVER (ORDER BY vec_id) AS pos, vec_id, v FROM e WHERE label < 5),
+  y AS (SELECT row_number() OVER (ORDER BY vec_id) AS pos, vec_id, v FROM e WHERE label >= 5 AND label < 9)"""
+
+
+@query(_POSITIONS + """SELECT CAST(pos AS INT) AS pos, 0 AS side, vec_id FROM x UNION ALL
+  SELECT CAST(y.pos AS INT), 1, y.vec_id FROM y LEFT JOIN x USING (pos) WHERE x.v IS NULL OR list_dot_product(x.v, y.v) <= 0.05""")
+def pairwise_dedup(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return dedup.pairwise_dedup(e.where("label < 5"), e.where("label >= 5 and label < 9"), "vec_id", "embedding", 0.05)
+
+
+def _pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    pairs = dedup.positional_pairs(e.where("label < 5"), e.where("label >= 5 and label < 9"), "vec_id").where("a is not null and b is not null")
+    return pairs.select(dedup.dot(F.col("a.embedding"), F.col("b.embedding")).alias("sim"))
+
+
+_SIMS = _POSITIONS + ", p AS (SELECT list_dot_product(x.v, y.v) AS sim FROM x JOIN y USING (pos)) "
+
+
+@query(_SIMS + "SELECT count(*) AS n, round(min(sim), 6) AS low, round(max(sim), 6) AS high, round(avg(sim), 6) AS mean, round(median(sim), 6) AS mid, round(stddev_pop(sim), 6) AS std FROM p")
+def similarity_stats(spark, sf_dir):
+    return metrics.similarity_stats(_pairs(spark, sf_dir))
+
+
+@query(_SIMS + """, b AS (SELECT unnest([0.0, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.95, 0.98])::DOUBLE AS lo, unnest([0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.95, 0.98, 1.0])::DOUBLE AS hi)
+  SELECT lo, hi, count(sim) AS n FROM b LEFT JOIN p ON sim >= lo AND sim < hi GROUP BY lo, hi""")
+def similarity_histogram(spark, sf_dir):
+    return metrics.similarity_histogram(_pairs(spark, sf_dir))
+
+
+# Groups of three vectors, as a problem has three samples.
+@query(_VEC + """, p AS (SELECT i.vec_id // 3 AS g, list_dot_product(i.v, j.v) AS sim FROM e i JOIN e j ON i.vec_id // 3 = j.vec_id // 3 AND i.vec_id < j.vec_id),
+  q AS (SELECT g, count(*) AS n, sum(sim) AS s, count(*) FILTER (sim >= 0.1) AS o FROM p GROUP BY g)
+  SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS pairs, round(sum(s) / sum(n), 6) AS mean_sim, round(CAST(sum(o) AS DOUBLE) / sum(n) * 100, 6) AS pairs_over_pct,
+  round(count(*) FILTER (o = n) * 1.0::DOUBLE / count(*) * 100, 6) AS groups_over_pct FROM q""")
+def redundancy(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("g", F.expr("vec_id div 3"))
+    return dedup.redundancy(e, "g", "vec_id", "embedding", 0.1)
+
+
+# Assembly ----------------------------------------------------------------------------------------
+
+@query("""SELECT 'c ' || c_custkey AS problem, c_mktsegment AS answer, CAST(NULL AS VARCHAR) AS "type" FROM customer
+  UNION ALL SELECT 'p ' || p_partkey, p_name, p_type FROM part""")
+def merge_union(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.concat(F.lit("c "), F.col("c_custkey").cast("string")).alias("problem"), F.col("c_mktsegment").alias("answer"))
+    b = table(spark, sf_dir, "part").select(F.concat(F.lit("p "), F.col("p_partkey").cast("string")).alias("problem"), F.col("p_name").alias("answer"), F.col("p_type").alias("type"))
+    return assemble.merge(a, b)
+
+
+@query("SELECT o_orderkey, md5('42:' || o_orderkey) AS h FROM orders ORDER BY 2, 1")
+def shuffle_order(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", assemble.shuffle_key("o_orderkey").alias("h"))
+    return assemble.shuffle(o, "o_orderkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) <= floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'test' END AS part FROM orders""")
+def train_test_split(spark, sf_dir):
+    return assemble.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
+def prefix_limit(spark, sf_dir):
+    return assemble.prefix(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100)
+
+
+@query(f"""SELECT conv_id, "turn", 'system' AS role1, '{SYSTEM}' AS content1, 'user' AS role2, 'Problem: ' || "text" AS content2, 'assistant' AS role3, 'Answer: ' || "text" AS content3
+  FROM conversations WHERE role = 'user'""")
+def sft_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    m = c.select("conv_id", "turn", assemble.sft_messages(F.col("text"), F.concat(F.lit("Answer: "), F.col("text")), SYSTEM).alias("m"))
+    return m.select("conv_id", "turn", *[F.col("m")[i][f].alias(f"{f}{i + 1}") for i in range(3) for f in ("role", "content")])
+
+
+# Sampling ----------------------------------------------------------------------------------------
+
+@query("""WITH s AS (SELECT user_id, event_id // 3 AS s, avg(-value / 100) AS m FROM events GROUP BY ALL),
+  u AS (SELECT user_id, coalesce(max(m) >= -0.2, false) AS ok, count(*) AS n FROM s GROUP BY user_id)
+  SELECT ok, count(*) AS users, CAST(sum(n) AS BIGINT) AS samples FROM u GROUP BY ok""")
+def logprob_confidence(spark, sf_dir):
+    s = (
+        table(spark, sf_dir, "events").groupBy("user_id", F.expr("event_id div 3").alias("s"))
+        .agg(F.collect_list(-F.col("value") / 100).alias("lp"))
+        .select("user_id", adaptive.mean_logprob(F.col("lp")).alias("m"))
+    )
+    users = s.groupBy("user_id").agg(adaptive.confident(F.collect_list("m"), -0.2).alias("ok"), F.count("*").alias("n"))
+    return users.groupBy("ok").agg(F.count("*").alias("users"), F.sum("n").alias("samples"))
+
+
+def fake_provider(todo: DataFrame, temperature: float, n: int, turn: int) -> DataFrame:
+    """Problems ``order k`` are confident in round k % 7; those of 0 or above 5 never."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = batch.loc[batch.index.repeat(n), ["problem"]].reset_index(drop=True)
+            made["sample_idx"] = [i % n for i in range(len(made))]
+            made["answer"] = [f"{p} at {turn}" for p in made["problem"]]
+            sure = made["problem"].str.split(" ").str[-1].astype("int64") % 7 == turn
+            made["token_logprobs"] = [[-1.0, -2.0] if s else [-3.0, None] for s in sure]
+            yield made[["problem", "answer", "sample_idx", "token_logprobs"]]
+
+    return todo.mapInPandas(run, adaptive.SAMPLE)
+
+
+@query("""WITH p AS (SELECT 'order ' || o_orderkey AS problem, o_orderkey % 7 AS k FROM orders),
+  r AS (SELECT problem, unnest(range(1, CASE WHEN k BETWEEN 1 AND 5 THEN k ELSE 5 END + 1)) AS round FROM p)
+  SELECT CAST(round AS INT) AS round, CASE round WHEN 1 THEN 0.3::DOUBLE ELSE 0.9::DOUBLE END AS temperature,
+  CAST(sum(CASE round WHEN 1 THEN 3 ELSE 2 END) AS BIGINT) AS samples, count(DISTINCT problem) AS problems FROM r GROUP BY round""")
+def adaptive_rounds(spark, sf_dir):
+    from .checkpoints import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    problems = table(spark, sf_dir, "orders").select(problem("o_orderkey").alias("problem"))
+    made = adaptive.adaptive_sample(problems, fake_provider)
+    return made.groupBy("round", "temperature").agg(F.count("*").alias("samples"), F.countDistinct("problem").alias("problems"))
+
+
+@query("""WITH d AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)
+  SELECT count(*) AS total, count(*) FILTER (n >= 400) AS over_limit, count(*) FILTER (n < 400) AS under_limit,
+  round(count(*) FILTER (n >= 400) * 1.0::DOUBLE / count(*) * 100, 6) AS over_pct, (SELECT list(doc_id ORDER BY doc_id) FROM (SELECT doc_id FROM d WHERE n >= 400 ORDER BY doc_id LIMIT 10)) AS first_over FROM d""")
+def token_limit(spark, sf_dir):
+    return metrics.token_limit(table(spark, sf_dir, "documents"), F.size(F.split("text", " ")), 400, "doc_id")
+
+
+# Quality -----------------------------------------------------------------------------------------
+
+_FLAGS = r"""f AS (SELECT doc_id, lang, text,
+  contains(text, 'wait') OR contains(text, 'Oops') OR contains(text, 'Actually,') OR contains(text, 'Hmm') OR contains(text, 'I made a mistake') AS self_correction,
+  coalesce(doc_id IN (SELECT doc_id FROM l WHERE line <> '' GROUP BY doc_id, line HAVING count(*) >= 4), false) AS repeated_lines,
+  NOT contains(text, '\boxed{') AS no_boxed, length(text) < 200 OR length(text) > 3000 AS extreme_length,
+  (length(text) - length(replace(text, '$$', ''))) / 2 % 2 = 1 OR length(replace(text, '[', '')) <> length(replace(text, ']', '')) AS artifacts FROM documents)"""
+_LINES = "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM documents), "
+
+
+@query(_LINES + _FLAGS + "SELECT doc_id, self_correction, repeated_lines, no_boxed, extreme_length, artifacts FROM f")
+def quality_flags(spark, sf_dir):
+    return metrics.quality_flags(table(spark, sf_dir, "documents")).select("doc_id", *metrics.FLAGS)
+
+
+@query(_LINES + _FLAGS + "SELECT lang, count(*) AS total, " + ", ".join(
+    f"count(*) FILTER ({f}) AS {f}, round(count(*) FILTER ({f}) * 1.0::DOUBLE / count(*) * 100, 6) AS {f}_pct" for f in metrics.FLAGS
+) + ", round(avg(length(text)), 6) AS mean_chars FROM f GROUP BY lang")
+def quality_table(spark, sf_dir):
+    return metrics.quality_table(metrics.quality_flags(table(spark, sf_dir, "documents")), "lang")
+
+
+@query(_LINES + _FLAGS + "SELECT doc_id FROM f WHERE NOT self_correction AND NOT repeated_lines")
+def quality_filter(spark, sf_dir):
+    return metrics.quality_flags(table(spark, sf_dir, "documents")).where("not self_correction and not repeated_lines").select("doc_id")
