@@ -37,6 +37,17 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written, with the hint to broadcast it if it has few rows; beyond
+    that the join is left to Spark."""
+    table = written(df, name)
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what the operators wrote below the shared folder."""
     jvm = spark.sparkContext._jvm

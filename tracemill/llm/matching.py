@@ -13,15 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 from .graph import components
 
 #: Texts compared with one leader in one task.
 GROUP_ROWS = 256
 #: Texts of one side of a block comparison.
 BLOCK_ROWS = 512
-#: Up to so many row numbers (8 bytes each) are broadcast to fetch their texts.
-BROADCAST_ROWS = 500_000
+#: Texts in one task's group, about.
+BIN_ROWS = 2_000
 
 
 def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -33,19 +33,26 @@ def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.n
 
 def fetch(numbered: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of ``numbered`` whose numbers ``rows`` lists, written."""
-    listed = written(rows.select("row").distinct(), "rows")
-    if listed.count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
-    return written(numbered.join(listed, "row", "left_semi"), "texts")
+    return written(numbered.join(sized(rows.select("row").distinct(), "rows"), "row", "left_semi"), "texts")
+
+
+def _links(out: list[tuple[int, int, float]]) -> pa.Table:
+    a, b, similarity = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
+
+
+LINKS = "a long, b long, similarity double"
 
 
 def verify(edges: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
     """The edges (a, b) of at least the matcher's similarity, with it.
 
-    Texts meet the leader ``a`` in groups of ``GROUP_ROWS``; a leader with
-    more is sent to as many groups.
+    Texts meet the leader ``a`` in groups of ``GROUP_ROWS``; a leader with more
+    is sent to as many groups.  A task's bin holds about ``BIN_ROWS`` texts of
+    many groups.
     """
     edges = written(edges, "edges")
+    bins = max(1, -(-edges.count() // BIN_ROWS))
     texts = fetch(numbered, edges.select(F.explode(F.array("a", "b")).alias("row")))
     groups = edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
     members = (
@@ -56,37 +63,36 @@ def verify(edges: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
         "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.col("a").alias("row"), F.lit(0).alias("role")
     )
 
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        how = matcher.value
-        roles, rows = table.column("role").to_pylist(), table.column("row").to_pylist()
-        texts = table.column("text")
-        leader = how.features(texts[roles.index(0)].as_py()) if 0 in roles else None
-        out = []
-        for k, (role, row) in enumerate(zip(roles, rows, strict=True)):
-            if role and leader is not None:
+    def compare(table: pa.Table) -> pa.Table:
+        how, out = matcher.value, []
+        table = table.sort_by([("a", "ascending"), ("salt", "ascending"), ("role", "ascending")])
+        texts, group, leader = table.column("text"), None, None
+        listed = zip(*(table.column(c).to_pylist() for c in ("a", "salt", "role", "row")), strict=True)
+        for k, (a, salt, role, row) in enumerate(listed):
+            if not role:
+                group, leader = (a, salt), how.features(texts[k].as_py())
+            elif group == (a, salt):
                 similarity = weighted_jaccard(leader, how.features(texts[k].as_py()))
                 if similarity >= how.similarity:
-                    out.append((row, similarity))
-        return pa.table(
-            {"a": pa.array([key[0].as_py()] * len(out), pa.int64()), "b": pa.array([o[0] for o in out], pa.int64()), "similarity": pa.array([o[1] for o in out], pa.float64())}
-        )
+                    out.append((a, row, similarity))
+        return _links(out)
 
-    met = members.union(leaders).join(texts, "row").select("a", "salt", "role", "row", "text")
-    return written(met.groupBy("a", "salt").applyInArrow(compare, "a long, b long, similarity double"), "verified")
+    met = members.union(leaders).join(texts, "row").select(
+        F.pmod(F.xxhash64("a", "salt"), F.lit(bins)).alias("bin"), "a", "salt", "role", "row", "text"
+    )
+    return written(met.groupBy("bin").applyInArrow(compare, LINKS), "verified")
 
 
 def _compare_blocks(matcher):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        how, held = matcher.value, {}
-        band_key = key[0].as_py()
+    def unit(how, table: pa.Table, out: list) -> None:
+        band_key, held = table.column("key")[0].as_py(), {}
         table = table.sort_by("row")
         rows, left = table.column("row").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
-        texts = table.column("text")
-        samples = how.samples(texts.to_pylist())
+        texts, labels = table.column("text").to_pylist(), table.column("label").to_pylist()
+        samples = how.samples(texts)
         bands = np.array(table.column("bands").to_pylist(), np.int64)
         band = int(np.flatnonzero(bands[0] == band_key)[0])
-        root = {x: x for x in table.column("label").to_pylist()}
-        labels = table.column("label").to_pylist()
+        root = {x: x for x in labels}
 
         def find(x):
             while root[x] != x:
@@ -96,11 +102,10 @@ def _compare_blocks(matcher):
 
         def features_of(k):
             if k not in held:
-                held[k] = how.features(texts[k].as_py())
+                held[k] = how.features(texts[k])
             return held[k]
 
         one_block = left.all()
-        out = []
         for k in np.flatnonzero(left):
             others = np.arange(k + 1, len(rows)) if one_block else np.flatnonzero(~left)
             near = others[(samples[others] == samples[k]).sum(axis=1) >= how.least_equal]
@@ -112,16 +117,22 @@ def _compare_blocks(matcher):
                     if similarity >= how.similarity:
                         root[a] = b
                         out.append((*sorted((int(rows[k]), int(rows[j]))), similarity))
-        return pa.table(
-            {"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "similarity": pa.array([o[2] for o in out], pa.float64())}
-        )
+
+    def run(table: pa.Table) -> pa.Table:
+        how, out = matcher.value, []
+        table = table.sort_by([(c, "ascending") for c in ("key", "i", "kind", "j")])
+        ends = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "kind", "j")])
+        starts = np.concatenate([[0], np.flatnonzero((ends[:, 1:] != ends[:, :-1]).any(axis=0)) + 1])
+        for start, end in zip(starts, [*starts[1:], table.num_rows], strict=True):
+            unit(how, table.slice(start, end - start), out)
+        return _links(out)
 
     return run
 
 
 def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
     """Further links within buckets (key, row) whose rows are in several components of ``links``."""
-    labels = components(links.select("a", "b")).withColumnRenamed("node", "row")
+    labels = sized(components(links.select("a", "b")).withColumnRenamed("node", "row"), "labels")
     rows = written(buckets.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("label")), "bucket_rows")
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
     whole = (
@@ -144,9 +155,11 @@ def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, numbered:
     )
     if units.isEmpty():
         return links
-    texts = fetch(numbered, units).join(reps, "row")
-    met = units.join(texts, "row").select("key", "i", "kind", "j", "row", "left", "label", "bands", "text")
-    more = met.groupBy("key", "i", "kind", "j").applyInArrow(_compare_blocks(matcher), "a long, b long, similarity double")
+    texts = fetch(numbered, units).join(reps.join(sized(units.select("row").distinct(), "rows"), "row", "left_semi"), "row")
+    bins = max(1, -(-units.count() // BIN_ROWS))
+    of = F.pmod(F.xxhash64("key", "i", "kind", "j"), F.lit(bins)).alias("bin")
+    met = units.join(texts, "row").select(of, "key", "i", "kind", "j", "row", "left", "label", "bands", "text")
+    more = met.groupBy("bin").applyInArrow(_compare_blocks(matcher), LINKS)
     return written(links.union(more), "links")
 
 
@@ -154,7 +167,7 @@ def candidate_links(reps: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
     """Verified links (a, b, similarity) among ``reps`` (row, bands) that make up the classes."""
     keys = reps.select("row", F.explode("bands").alias("key"))
     firsts = keys.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(keys.join(firsts, "key").select("key", "row", "first"), "buckets")
+    buckets = written(keys.join(sized(firsts, "firsts"), "key").select("key", "row", "first"), "buckets")
     edges = buckets.where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
     return links_apart(buckets, reps, verify(edges, numbered, matcher), numbered, matcher)
 

@@ -37,6 +37,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,9 @@ BANDS, ROWS = 16, 4
 #: Words in a smaller share of documents than this weigh alike.
 RARE = 1e-3
 #: Parameters of the samples are drawn for so many shingle classes.
-DRAW_BITS = 14
+DRAW_BITS = 13
+#: Shingles sampled at once.
+CHUNK = 512
 SEED = 17
 #: Equal samples that a pair needs to be compared in full.
 LEAST_EQUAL = 38
@@ -81,14 +84,14 @@ class Features(dict):
         return Features, (self.frequent, self.documents)
 
     def idf(self, word: str) -> float:
-        df = max(self.frequent.get(word, 0), RARE * self.documents)
-        return 1 + math.log(self.documents / df) / math.log(1 / RARE)
+        df = self.frequent.get(word, 0)
+        return 1 + math.log(self.documents / df) / math.log(1 / RARE) if df > RARE * self.documents else 2.0
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.hashes):
             self.hashes, self.idfs = np.resize(self.hashes, 2 * at), np.resize(self.idfs, 2 * at)
-        self.hashes[at] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self.hashes[at] = xxhash.xxh3_64_intdigest(word)
         self.idfs[at] = self.idf(word)
         self[word] = at
         return at
@@ -123,21 +126,34 @@ class Sampler:
         shape = (1 << DRAW_BITS, functions)
         r, c, b = rng.gamma(2, 1, shape), rng.gamma(2, 1, shape), rng.random(shape)
         self.tables = np.stack([1 / r, b, r, np.log(c) - r * (1 - b)], axis=1).astype(np.float32)
+        self.drawn = np.empty((CHUNK, 4, functions), np.float32)
+        self.t, self.a = np.empty((2, CHUNK, functions), np.float32)
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One uint64 a function.  A shingle's draws are those of its hash's first
         bits, so that hashes in order read the tables in order."""
-        drawn = self.tables[(hashes >> np.uint64(64 - DRAW_BITS)).astype(np.int64)]
-        t = drawn[:, 0] * np.log(weights).astype(np.float32)[:, None]
-        t += drawn[:, 1]
-        np.floor(t, out=t)
-        a = drawn[:, 2] * t
-        np.subtract(drawn[:, 3], a, out=a)
-        rows, cols = np.nonzero(a == a.min(axis=0))
-        low = np.empty(a.shape[1], np.int64)
-        low[cols[::-1]] = rows[::-1]  # of equal ones the first
-        level = t[low, np.arange(len(low))].astype(np.int64).astype(np.uint64)
-        return _mix(hashes[low] ^ _mix(level + _A[0]))
+        at = (hashes >> np.uint64(64 - DRAW_BITS)).astype(np.int64)
+        logs = np.log(weights).astype(np.float32)[:, None]
+        size = self.a.shape[1]
+        best, low, level = np.full(size, np.inf, np.float32), np.zeros(size, np.int64), np.zeros(size, np.float32)
+        for start in range(0, len(at), CHUNK):
+            n = min(CHUNK, len(at) - start)
+            drawn, t, a = self.drawn[:n], self.t[:n], self.a[:n]
+            np.take(self.tables, at[start : start + n], axis=0, out=drawn, mode="clip")
+            np.multiply(drawn[:, 0], logs[start : start + n], out=t)
+            t += drawn[:, 1]
+            np.floor(t, out=t)
+            np.multiply(drawn[:, 2], t, out=a)
+            np.subtract(drawn[:, 3], a, out=a)
+            least = a.min(axis=0)
+            rows, cols = np.nonzero(a == least)
+            first = np.empty(size, np.int64)
+            first[cols[::-1]] = rows[::-1]  # of equal ones the first
+            less = least < best
+            best = np.where(less, least, best)
+            low = np.where(less, first + start, low)
+            level = np.where(less, t[first, np.arange(size)], level)
+        return _mix(hashes[low] ^ _mix(level.astype(np.int64).astype(np.uint64) + _A[0]))
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
