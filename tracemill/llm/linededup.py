@@ -5,12 +5,12 @@ trimming, in lower case) take part; shorter and blank lines always stay.  A
 line's features are its distinct shingles of ``SHINGLE_CHARS`` characters; their
 one-permutation MinHash, empty bins filled by rotation, is banded for high
 recall, candidates are compared by exact Jaccard similarity on all shingles, and
-of every component of the links one line stays: the first by (doc_id, row, line).
+of every component of the links one line stays: the first in the input.
 
 Defined results
     null text has no lines and stays null; empty text is one blank line.  Equal
     lines are in one component; repeated rows repeat their lines, of which the
-    first stays.  Null ids come last.  An empty input gives no rows; extra
+    first stays.  An empty input gives no rows; extra
     columns are not read.  Give a table or a checkpoint, whose rows come in the
     same order when a lost task runs again.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, written
 from .graph import components
 from .matching import candidate_links
 
@@ -106,23 +106,21 @@ class Matcher:
 
 
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc, row, line_no, line (a number in the input) and text of every line."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("doc_row"), F.col(text_col).alias("text")
-    )
-    return rows.select("doc_id", "doc_row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text")).withColumn(
+    """doc_row, line_no, row (the line's number in the input) and text of every line."""
+    rows = docs.select(F.monotonically_increasing_id().alias("doc_row"), F.col(text_col).alias("text"))
+    return rows.select("doc_row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text")).withColumn(
         "row", F.monotonically_increasing_id()
     )
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """doc_id, doc_row, line_no, row, digest and bands of the lines that take part."""
+    """doc_row, line_no, row, digest and bands of the lines that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = [canonical(t) for t in part.column(4).to_pylist()]
+                texts = [canonical(t) for t in part.column(3).to_pylist()]
                 some = [k for k, t in enumerate(texts) if len(t) >= MIN_CHARS]
                 if not some:
                     continue
@@ -130,48 +128,44 @@ def signatures(lines: DataFrame) -> DataFrame:
                 digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
                 keys = band_keys(bins(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:4], pa.array(digests, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())],
-                    names=["doc_id", "doc_row", "line_no", "row", "digest", "bands"],
+                    [*part.columns[:3], pa.array(digests, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())],
+                    names=["doc_row", "line_no", "row", "digest", "bands"],
                 )
 
-    return lines.select("doc_id", "doc_row", "line_no", "row", "text").mapInArrow(
-        run, "doc_id long, doc_row long, line_no int, row long, digest binary, bands array<long>"
+    return lines.select("doc_row", "line_no", "row", "text").mapInArrow(
+        run, "doc_row long, line_no int, row long, digest binary, bands array<long>"
     )
 
 
-def line_classes(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """doc_id, doc_row, line_no and kept of every line that takes part."""
+def repeated_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """doc_row, line_no and row of every line that goes."""
     spark = docs.sparkSession
     lines = lines_of(docs, text_col)
     matcher = spark.sparkContext.broadcast(Matcher())
     table = written(signatures(lines), "line_signatures")
-    same = written(table.groupBy("digest").agg(F.min(F.struct("row", "bands")).alias("rep")).select("digest", "rep.*"), "distinct_lines")
+    same = table.groupBy("digest").agg(F.min(F.struct("row", "bands")).alias("rep"), F.count("*").alias("n"))
+    same = written(same.select("digest", "n", "rep.*"), "distinct_lines")
     links = candidate_links(same.select("row", "bands"), lines.select("row", "text"), matcher)
-    parts = components(links.select("a", "b")).withColumnRenamed("node", "row")
-    # A digest's class; copies take it part of the input by part, so that none meets all its copies.
-    classes = same.select("digest", "row").join(parts, "row", "left").select(
-        "digest", F.coalesce("label", "row").alias("class"), F.col("label").isNotNull().alias("linked")
-    )
-    part = F.shiftright("row", 33).alias("part")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_row", "line_no")
-    firsts = table.groupBy(part, "digest").agg(F.min(order).alias("first"))
-    local = written(firsts.join(classes, "digest"), "line_classes")
-    tops = local.groupBy("linked", "class").agg(F.min("first").alias("top"))
-    local = local.join(tops, ["linked", "class"]).select("part", "digest", "top")
-    return table.select("doc_id", "doc_row", "line_no", part, "digest").join(local, ["part", "digest"]).select(
-        "doc_id", "doc_row", "line_no",
-        ((F.col("doc_row") == F.col("top.doc_row")) & (F.col("line_no") == F.col("top.line_no"))).alias("kept"),
+    parts = sized(components(links.select("a", "b")).withColumnRenamed("node", "row"), "parts")
+    # Only lines with a copy or a link are looked at further; the first of a component stays.
+    hits = (
+        same.select("digest", "n", "row").join(parts, "row", "left").where("n > 1 or label is not null")
+        .select("digest", "row", F.coalesce("label", "row").alias("class"), F.col("label").isNotNull().alias("linked"))
     )
+    hits = written(hits, "hits")
+    tops = hits.groupBy("linked", "class").agg(F.min("row").alias("top"))
+    decided = sized(hits.join(tops, ["linked", "class"]).select("digest", "top"), "decided")
+    return table.select("doc_row", "line_no", "row", "digest").join(decided, "digest").where("row <> top").select("doc_row", "line_no", "row")
 
 
 def line_dedup(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """doc_id, text (of the lines that stay), n_lines and dropped (numbers of
     the lines that went) of each row of ``docs``."""
     gone = (
-        line_classes(docs, text_col=text_col).where("not kept")
+        repeated_lines(docs, text_col=text_col)
         .groupBy("doc_row").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
     )
-    gone = written(gone, "dropped_lines")
+    gone = sized(gone, "dropped_lines")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("doc_row"), F.col(text_col).alias("text")
     )
