@@ -8,6 +8,8 @@ of the similarity), ``similarity`` and ``least_equal``.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,15 +86,11 @@ def verify(edges: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
 
 
 def _compare_blocks(matcher):
-    def unit(how, table: pa.Table, out: list) -> None:
-        band_key, held = table.column("key")[0].as_py(), {}
-        table = table.sort_by("row")
-        rows, left = table.column("row").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
-        texts, labels = table.column("text").to_pylist(), table.column("label").to_pylist()
-        samples = how.samples(texts)
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        band = int(np.flatnonzero(bands[0] == band_key)[0])
-        root = {x: x for x in labels}
+    def unit(how, at: range, rows, left, labels, bands, samples, held, band_key, out: list) -> None:
+        """Compare the texts of one unit of blocks; ``held`` has the features of the texts of the task by place."""
+        lo, hi = at.start, at.stop
+        band = int(np.flatnonzero(bands[lo] == band_key)[0])
+        root = {labels[k]: labels[k] for k in at}
 
         def find(x):
             while root[x] != x:
@@ -100,31 +98,31 @@ def _compare_blocks(matcher):
                 x = root[x]
             return x
 
-        def features_of(k):
-            if k not in held:
-                held[k] = how.features(texts[k])
-            return held[k]
-
-        one_block = left.all()
-        for k in np.flatnonzero(left):
-            others = np.arange(k + 1, len(rows)) if one_block else np.flatnonzero(~left)
+        sides = left[lo:hi]
+        one_block, right = sides.all(), lo + np.flatnonzero(~sides)
+        for k in lo + np.flatnonzero(sides):
+            others = np.arange(k + 1, hi) if one_block else right
             near = others[(samples[others] == samples[k]).sum(axis=1) >= how.least_equal]
             near = near[~(bands[near, :band] == bands[k, :band]).any(axis=1)]
             for j in near:
                 a, b = find(labels[k]), find(labels[j])
                 if a != b:
-                    similarity = weighted_jaccard(features_of(k), features_of(j))
+                    similarity = weighted_jaccard(held(k), held(j))
                     if similarity >= how.similarity:
                         root[a] = b
                         out.append((*sorted((int(rows[k]), int(rows[j]))), similarity))
 
     def run(table: pa.Table) -> pa.Table:
         how, out = matcher.value, []
-        table = table.sort_by([(c, "ascending") for c in ("key", "i", "kind", "j")])
-        ends = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "kind", "j")])
-        starts = np.concatenate([[0], np.flatnonzero((ends[:, 1:] != ends[:, :-1]).any(axis=0)) + 1])
-        for start, end in zip(starts, [*starts[1:], table.num_rows], strict=True):
-            unit(how, table.slice(start, end - start), out)
+        table = table.sort_by([(c, "ascending") for c in ("key", "i", "kind", "j", "row")])
+        texts, labels = table.column("text").to_pylist(), table.column("label").to_pylist()
+        rows, left = table.column("row").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        samples, held = how.samples(texts), cache(lambda k: how.features(texts[k]))
+        unit_of = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "kind", "j")])
+        starts = [0, *(np.flatnonzero((unit_of[:, 1:] != unit_of[:, :-1]).any(axis=0)) + 1).tolist()]
+        for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True):
+            unit(how, range(lo, hi), rows, left, labels, bands, samples, held, unit_of[0, lo], out)
         return _links(out)
 
     return run
