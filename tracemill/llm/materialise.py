@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import scratch_path, sized, written
 from .tokens import word_ids
 
 LENGTH = 1024
@@ -132,7 +132,7 @@ def training_order(table: DataFrame, key: int) -> tuple[DataFrame, int]:
         return pd.Series(feistel(index.to_numpy(), n, key))
 
     return (
-        table.join(starts.select("part", "start"), "part")
+        table.join(sized(starts.select("part", "start"), "starts"), "part")
         .withColumn("sequence", F.col("start") + F.col("nth"))
         .withColumn("slot", slot("sequence"))
         .drop("start"),

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_size, written
+from .common import sized, text_size, written
 
 
 def _fisher_yates(seed: int):
@@ -103,7 +103,7 @@ def shard(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
     in_large = place < large_rows
     one = max(small, 1)
     return (
-        table.join(starts, "bucket")
+        table.join(sized(starts, "starts"), "bucket")
         .withColumn("place", place)
         .select(
             F.when(in_large, F.expr(f"place div {small + 1}"))
