@@ -18,15 +18,17 @@ import os
 import re
 import unicodedata
 from functools import cache
-from itertools import chain
+from itertools import chain, compress, islice, pairwise
+from operator import not_
 
+import numpy as np
 import public_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORD_FILE = "word_bpe_49k.json"
 BYTE_FILE = "byte_bpe_multi_50k.tiktoken"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 TABLED = 0x250
 _OUTSIDE = re.compile(f"[^\\x00-\\u{TABLED - 1:04x}]")
 #: White space by the Unicode property, as far as it is tabled.
@@ -50,6 +52,27 @@ def localised(pattern: str) -> str:
     return out.replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
 
 
+def _bytes(encoding) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in encoding.ids)
+
+
+def look_up(memo: dict, groups: list[list[str]], encode) -> list[list]:
+    """What ``memo`` has for each string of each group; ``encode`` makes the rest,
+    which ``memo`` keeps as far as its bound allows."""
+    parts = [list(map(memo.get, group)) for group in groups]
+    gaps = [list(compress(range(len(found)), map(not_, found))) for found in parts]
+    new = list({group[i] for group, at in zip(groups, gaps, strict=True) for i in at})
+    made = {}
+    for at in range(0, len(new), 4096):
+        some = new[at : at + 4096]
+        made.update(zip(some, encode(some), strict=True))
+    for group, found, at in zip(groups, parts, gaps, strict=True):
+        for i in at:
+            found[i] = made[group[i]]
+    memo.update(islice(made.items(), max(0, MEMO_WORDS - len(memo))))
+    return parts
+
+
 class WordIds:
     """Little-endian uint32 ids of a text under a word-splitting BPE file."""
 
@@ -57,6 +80,7 @@ class WordIds:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -64,38 +88,30 @@ class WordIds:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
         self.split = re.compile(localised(steps[0]["pattern"]["Regex"])).findall
         self.memo: dict[str, bytes] = {}
-
-    def _bytes(self, encoding) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in encoding.ids)
+        # The same model for texts that are words already, white space between them.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: all encoded as one text, which is cut after the ids that end a word."""
+        ids = np.array(self.words.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+        if len(ends) != len(words):
+            return [_bytes(e) for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in pairwise([0, *ends])]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """One byte string of ids a text."""
-        words = [self.split(t) if tabled(t) else None for t in map(str.lower, texts)]
-        memo = self.memo
-        new = list({w for ws in words if ws for w in ws if w not in memo})
-        found = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            found.update(zip(part, map(self._bytes, encoded), strict=True))
-        room = MEMO_WORDS - len(memo)
-        if room >= len(found):
-            memo.update(found)
-            look = memo.__getitem__
-        else:
-            for w in list(found)[: max(room, 0)]:
-                memo[w] = found[w]
-
-            def look(w):
-                return memo[w] if w in memo else found[w]
-
-        out = []
-        for text, ws in zip(texts, words, strict=True):
-            if ws is None:
-                out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False)))
-            else:
-                out.append(b"".join(map(look, ws)))
-        return out
+        lower = list(map(str.lower, texts))
+        parts = iter(look_up(self.memo, [self.split(t) for t in lower if tabled(t)], self._encode))
+        return [
+            b"".join(next(parts)) if tabled(low) else _bytes(self.tokenizer.encode(text, add_special_tokens=False))
+            for text, low in zip(texts, lower, strict=True)
+        ]
 
 
 @cache
@@ -166,32 +182,16 @@ class ByteBPE:
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
-        pieces = [self.split(t) if tabled(t) else None for t in texts]
-        memo = self.memo
-        new = list({p for ps in pieces if ps for p in ps if p not in memo})
-        found = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            # A match on its own may split again (white space before a letter), so no split here.
-            encoded = self._whole.encode_batch_fast(part, add_special_tokens=False)
-            found.update((p, tuple(e.ids)) for p, e in zip(part, encoded, strict=True))
-        room = MEMO_WORDS - len(memo)
-        if room >= len(found):
-            memo.update(found)
-            look = memo.__getitem__
-        else:
-            for p in list(found)[: max(room, 0)]:
-                memo[p] = found[p]
-
-            def look(p):
-                return memo[p] if p in memo else found[p]
-
+        parts = iter(look_up(self.memo, [self.split(t) for t in texts if tabled(t)], self._encode))
         return [
-            list(chain.from_iterable(map(look, ps))) if ps is not None
-            else self.tokenizer.encode(t, add_special_tokens=False).ids
-            for t, ps in zip(texts, pieces, strict=True)
+            list(chain.from_iterable(next(parts))) if tabled(t) else self.tokenizer.encode(t, add_special_tokens=False).ids
+            for t in texts
         ]
 
+    def _encode(self, matches: list[str]) -> list[tuple[int, ...]]:
+        # A match on its own may split again (white space before a letter), so no split here.
+        return [tuple(e.ids) for e in self._whole.encode_batch_fast(matches, add_special_tokens=False)]
+
     @property
     def _whole(self):
         """The same model for strings that are one match each."""
