@@ -22,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import zlib
 import zlib
 from collections.abc import Iterator
 
@@ -163,24 +164,25 @@ def materialise(
     return path, ordered.select("sequence", "slot", "shard", "used", "first_doc", "last_doc")
 
 
-def read_shards(spark, path: str, *, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
-    """Every sequence of the shards at ``path``: slot, ids_crc32, data."""
+def read_shards(spark, path: str, *, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, data: bool = True) -> DataFrame:
+    """Every sequence of the shards at ``path``: slot, ids_crc32 and, unless ``data`` is false, data."""
     step = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [data[k : k + step] for k in range(0, len(data), step)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(len(rows), dtype=np.int64) + shard * shard_sequences),
-                        pa.array([zlib.crc32(r) for r in rows], pa.int64()),
-                        pa.array(rows, pa.binary()),
-                    ],
-                    names=["slot", "ids_crc32", "data"],
-                )
+            for shard, content in zip(batch.column(0), batch.column(1), strict=True):
+                # One file at a time, not copied.
+                view = memoryview(content.as_buffer())
+                rows = [view[k : k + step] for k in range(0, len(view), step)]
+                out = {
+                    "slot": pa.array(np.arange(len(rows), dtype=np.int64) + shard.as_py() * shard_sequences),
+                    "ids_crc32": pa.array(map(zlib.crc32, rows), pa.int64()),
+                }
+                if data:
+                    out["data"] = pa.array(map(bytes, rows), pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
         F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int").alias("shard"), "content"
-    ).mapInArrow(run, "slot long, ids_crc32 long, data binary")
+    ).mapInArrow(run, "slot long, ids_crc32 long" + ", data binary" * data)

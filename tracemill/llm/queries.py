@@ -43,7 +43,7 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the shards hold, read back from their files, with what was to be there."""
     path, index = materialise.materialise(documents(spark, sf_dir))
-    return index.join(materialise.read_shards(spark, path).drop("data"), "slot")
+    return index.join(materialise.read_shards(spark, path, data=False), "slot")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
