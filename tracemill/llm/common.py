@@ -26,14 +26,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def written(df: DataFrame, name: str, path: str | None = None, *, level: int = 3) -> DataFrame:
+    """Write ``df`` to the shared folder (zstd at ``level``) and read it back.
 
     This cuts lineage at a commit point that survives the loss of any executor;
     every task attempt either commits its whole file or none.
     """
     path = path or scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
