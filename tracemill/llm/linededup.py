@@ -18,7 +18,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,11 @@ SHINGLE_CHARS = 8
 MIN_CHARS = 16
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
+_KEYS = [f"b{k}" for k in range(BANDS)]
 #: Equal bins of 32 that a pair needs to be compared in full; at 0.8 fewer come once in 30,000.
 LEAST_EQUAL = 16
+#: Characters whose shingles are made at a time (more in one line are one block).
+BLOCK_CHARS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -97,9 +100,30 @@ class Matcher:
 
     similarity, least_equal = SIMILARITY, LEAST_EQUAL
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        hashes = np.unique(shingle_hashes([canonical(text)])[0])
-        return hashes, np.ones(len(hashes))
+    def features(self, text: str) -> tuple[np.ndarray, None]:
+        return np.unique(shingle_hashes([canonical(text)])[0]), None
+
+    def features_of(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, None]]:
+        """``features`` of each text, in blocks of some characters."""
+        block, chars = [], 0
+        for text in texts:
+            block.append(canonical(text))
+            chars += len(text)
+            if chars >= BLOCK_CHARS:
+                yield from self._block(block)
+                block, chars = [], 0
+        if block:
+            yield from self._block(block)
+
+    def _block(self, lines: list[str]) -> Iterator[tuple[np.ndarray, None]]:
+        hashes, owner = shingle_hashes(lines)
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        first = np.ones(len(hashes), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        hashes, owner = hashes[first], owner[first]
+        for part in np.split(hashes, np.searchsorted(owner, np.arange(1, len(lines)))):
+            yield part, None
 
     def samples(self, texts: list[str]) -> np.ndarray:
         return bins(list(map(canonical, texts)))
@@ -114,7 +138,7 @@ def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """doc_row, line_no, row, digest and bands of the lines that take part."""
+    """doc_row, line_no, row, digest and band keys (b0, b1, ...) of the lines that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,12 +152,12 @@ def signatures(lines: DataFrame) -> DataFrame:
                 digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
                 keys = band_keys(bins(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(digests, pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())],
-                    names=["doc_row", "line_no", "row", "digest", "bands"],
+                    [*part.columns[:3], pa.array(digests, pa.binary()), *map(pa.array, np.ascontiguousarray(keys.T))],
+                    names=["doc_row", "line_no", "row", "digest", *_KEYS],
                 )
 
     return lines.select("doc_row", "line_no", "row", "text").mapInArrow(
-        run, "doc_row long, line_no int, row long, digest binary, bands array<long>"
+        run, "doc_row long, line_no int, row long, digest binary, " + ", ".join(f"{k} long" for k in _KEYS)
     )
 
 
@@ -143,8 +167,9 @@ def repeated_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     lines = lines_of(docs, text_col)
     matcher = spark.sparkContext.broadcast(Matcher())
     table = written(signatures(lines), "line_signatures")
-    same = table.groupBy("digest").agg(F.min(F.struct("row", "bands")).alias("rep"), F.count("*").alias("n"))
-    same = written(same.select("digest", "n", "rep.*"), "distinct_lines")
+    # Equal lines have equal band keys, so that any row's will do; buffers of longs keep this a hash aggregate.
+    same = table.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in _KEYS])
+    same = written(same.select("digest", "n", "row", F.array(*_KEYS).alias("bands")), "distinct_lines")
     links = candidate_links(same.select("row", "bands"), lines.select("row", "text"), matcher)
     parts = sized(components(links.select("a", "b")).withColumnRenamed("node", "row"), "parts")
     # Only lines with a copy or a link are looked at further; the first of a component stays.

@@ -2,8 +2,9 @@
 
 ``reps`` lists texts by number (row) with their band keys; ``numbered`` gives the
 texts.  A matcher, sent to the executors, says how two texts compare: its
-``features`` (hashes in order, weights), ``samples`` (equal with the probability
-of the similarity), ``similarity`` and ``least_equal``.
+``features`` (hashes in order, weights or None for 1 each), ``features_of`` (the
+same of many texts), ``samples`` (equal with the probability of the similarity),
+``similarity`` and ``least_equal``.
 """
 
 from __future__ import annotations
@@ -24,9 +25,15 @@ GROUP_ROWS = 256
 BLOCK_ROWS = 512
 #: Texts in one task's group, about.
 BIN_ROWS = 2_000
+#: Samples compared at a time.
+COMPARED = 1 << 20
 
 
-def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+def weighted_jaccard(x: tuple[np.ndarray, np.ndarray | None], y: tuple[np.ndarray, np.ndarray | None]) -> float:
+    if x[1] is None and y[1] is None:
+        both = np.sort(np.concatenate([x[0], y[0]]))
+        common = np.count_nonzero(both[1:] == both[:-1])
+        return float(common / (len(both) - common)) if len(both) else 0.0
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     common = np.minimum(x[1][i], y[1][j]).sum()
     union = x[1].sum() + y[1].sum() - common
@@ -68,13 +75,14 @@ def verify(edges: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         how, out = matcher.value, []
         table = table.sort_by([("a", "ascending"), ("salt", "ascending"), ("role", "ascending")])
-        texts, group, leader = table.column("text"), None, None
+        group, leader = None, None
         listed = zip(*(table.column(c).to_pylist() for c in ("a", "salt", "role", "row")), strict=True)
-        for k, (a, salt, role, row) in enumerate(listed):
+        found = how.features_of(text.as_py() for text in table.column("text"))
+        for (a, salt, role, row), features in zip(listed, found, strict=True):
             if not role:
-                group, leader = (a, salt), how.features(texts[k].as_py())
+                group, leader = (a, salt), features
             elif group == (a, salt):
-                similarity = weighted_jaccard(leader, how.features(texts[k].as_py()))
+                similarity = weighted_jaccard(leader, features)
                 if similarity >= how.similarity:
                     out.append((a, row, similarity))
         return _links(out)
@@ -99,12 +107,18 @@ def _compare_blocks(matcher):
             return x
 
         sides = left[lo:hi]
-        one_block, right = sides.all(), lo + np.flatnonzero(~sides)
-        for k in lo + np.flatnonzero(sides):
-            others = np.arange(k + 1, hi) if one_block else right
-            near = others[(samples[others] == samples[k]).sum(axis=1) >= how.least_equal]
-            near = near[~(bands[near, :band] == bands[k, :band]).any(axis=1)]
-            for j in near:
+        one_block = sides.all()
+        lefts, right = lo + np.flatnonzero(sides), np.arange(lo, hi) if one_block else lo + np.flatnonzero(~sides)
+        step = max(1, COMPARED // max(1, len(right) * samples.shape[1]))
+        for start in range(0, len(lefts), step):
+            some = lefts[start : start + step]
+            near = (samples[some, None] == samples[None, right]).sum(axis=2) >= how.least_equal
+            if one_block:
+                near &= right > some[:, None]
+            k_of, j_of = np.nonzero(near)
+            k_of, j_of = some[k_of], right[j_of]
+            fresh = ~(bands[k_of, :band] == bands[j_of, :band]).any(axis=1)
+            for k, j in zip(k_of[fresh].tolist(), j_of[fresh].tolist(), strict=True):
                 a, b = find(labels[k]), find(labels[j])
                 if a != b:
                     similarity = weighted_jaccard(held(k), held(j))

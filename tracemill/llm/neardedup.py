@@ -32,7 +32,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -225,6 +225,9 @@ class Matcher:
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return self.make(words_of(text))
 
+    def features_of(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return map(self.features, texts)
+
     def samples(self, texts: list[str]) -> np.ndarray:
         return np.stack([_sampler()(*self.features(t)) for t in texts])
 
