@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tracemill.llm import ann, bytebpe, exactdedup, langid, linededup, materialise, neardedup, packing, pii, sharding, tokens
+from tracemill.llm import ann, bytebpe, exactdedup, langid, linededup, materialise, neardedup, packing, pii, queries, sharding, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, shard int, kept boolean"
 WORDS = [f"w{i}" for i in range(400)]
@@ -160,6 +160,24 @@ def test_lines(spark, docs, empty, tmp_path):
     assert linededup.line_dedup(docs).count() == docs.count() and linededup.line_dedup(empty).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    """All but blank lines take part: copies of any length go, and short lines much alike."""
+    (tmp_path / "sf").mkdir()
+    rows = [(1, "Menu\n\nx\nread more now\nmenu2\n "), (2, " menu\n\nX\nread more now!\nmenu3\nread less now\n ")]
+    path = str(tmp_path / "sf" / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {r.doc_id: r.dropped for r in queries.op10_lines(spark, str(tmp_path / "sf")).collect()}
+    assert got == {1: [], 2: [0, 2, 3]}
+
+
+def test_bins_of_short_lines():
+    """Bins agree as often as the similarity says, also for lines of few shingles."""
+    rng = np.random.default_rng(0)
+    lines = ["".join(rng.choice(list("abcdefghij"), 12)) for _ in range(2000)]
+    equal = (linededup.bins(lines) == linededup.bins([x + "k" for x in lines])).sum(axis=1)  # five of six shingles
+    assert equal.min() >= linededup.LEAST_EQUAL
+
+
 def test_nearest(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 16)))]

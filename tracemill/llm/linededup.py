@@ -1,11 +1,13 @@
 """Fuzzy line deduplication.
 
-Lines are split at newlines.  Those of at least ``MIN_CHARS`` characters (after
-trimming, in lower case) take part; shorter and blank lines always stay.  A
-line's features are its distinct shingles of ``SHINGLE_CHARS`` characters; their
-one-permutation MinHash, empty bins filled by rotation, is banded for high
-recall, candidates are compared by exact Jaccard similarity on all shingles, and
-of every component of the links one line stays: the first in the input.
+Lines are split at newlines.  Those of at least ``min_chars`` characters (after
+trimming, in lower case) take part, with 1 all but blank lines; the others
+always stay.  A line's features are its distinct shingles of ``SHINGLE_CHARS``
+characters (one of the whole line, if it has fewer); their one-permutation
+MinHash, each empty bin filled from the first other that has a value in an order
+of its own, is banded for high recall, candidates are compared by exact Jaccard
+similarity on all shingles, and of every component of the links one line stays:
+the first in the input.
 
 Defined results
     null text has no lines and stays null; empty text is one blank line.  Equal
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from .graph import components
 from .matching import candidate_links
 
 SHINGLE_CHARS = 8
+#: Characters of a line that takes part, where the caller does not say; ``op10_lines`` takes all but blank lines.
 MIN_CHARS = 16
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
@@ -54,6 +58,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of ``lines`` (canonical), and the line of each."""
+    # Newlines, which no line holds, make one shingle of a shorter line.
+    lines = [line.ljust(SHINGLE_CHARS, "\n") for line in lines]
     text = "\n".join(lines)
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     width = 1
@@ -63,13 +69,19 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         base, width = base * base & _MASK, 2 * width
     lengths = np.array([len(line) for line in lines])
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    counts = np.maximum(lengths - SHINGLE_CHARS + 1, 0)
+    counts = lengths - SHINGLE_CHARS + 1
     owner = np.repeat(np.arange(len(lines)), counts)
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     at = np.arange(counts.sum()) - first[owner] + starts[owner]
     return _mix(x[at]), owner
 
 
+@cache
+def _order(size: int) -> np.ndarray:
+    """For each of ``size`` bins all bins, in a seeded order."""
+    return np.random.default_rng(size).permuted(np.tile(np.arange(size), (size, 1)), axis=1)
+
+
 def bins(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash (lines, BANDS * ROWS), uint64, without empty bins."""
     size = BANDS * ROWS
@@ -79,12 +91,17 @@ def bins(lines: list[str]) -> np.ndarray:
     cell = owner * size + ((hashes >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(out, cell, hashes & np.uint64(0xFFFFFFFF))
     out = out.reshape(-1, size)
-    # The next bin to the right that has a value, with the distance to it.
-    at = np.where(out == empty, 4 * size, np.arange(size))
-    twice = np.concatenate([at, at + size], axis=1)
-    nearest = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :size]
-    distance = nearest - np.arange(size)
-    return np.take_along_axis(out, nearest % size, 1) + distance.astype(np.uint64) * np.uint64(0x100000001B3)
+    # Each empty bin tries the others in its own order, so that in lines of few shingles, too, bins agree one by one.
+    filled = out != empty
+    i, j = np.nonzero(~filled)
+    for tries in _order(size).T:
+        if not len(i):
+            break
+        at = tries[j]
+        found = filled[i, at]
+        out[i[found], j[found]] = out[i[found], at[found]]
+        i, j = i[~found], j[~found]
+    return out
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -137,7 +154,7 @@ def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def signatures(lines: DataFrame) -> DataFrame:
+def signatures(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_row, line_no, row, digest and band keys (b0, b1, ...) of the lines that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +162,7 @@ def signatures(lines: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 texts = [canonical(t) for t in part.column(3).to_pylist()]
-                some = [k for k, t in enumerate(texts) if len(t) >= MIN_CHARS]
+                some = [k for k, t in enumerate(texts) if len(t) >= max(1, min_chars)]
                 if not some:
                     continue
                 texts, part = [texts[k] for k in some], part.take(pa.array(some))
@@ -161,12 +178,12 @@ def signatures(lines: DataFrame) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, *, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_row, line_no and row of every line that goes."""
     spark = docs.sparkSession
     lines = lines_of(docs, text_col)
     matcher = spark.sparkContext.broadcast(Matcher())
-    table = written(signatures(lines), "line_signatures")
+    table = written(signatures(lines, min_chars), "line_signatures")
     # Equal lines have equal band keys, so that any row's will do; buffers of longs keep this a hash aggregate.
     same = table.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in _KEYS])
     same = written(same.select("digest", "n", "row", F.array(*_KEYS).alias("bands")), "distinct_lines")
@@ -183,11 +200,11 @@ def repeated_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return table.select("doc_row", "line_no", "row", "digest").join(decided, "digest").where("row <> top").select("doc_row", "line_no", "row")
 
 
-def line_dedup(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, *, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text (of the lines that stay), n_lines and dropped (numbers of
     the lines that went) of each row of ``docs``."""
     gone = (
-        repeated_lines(docs, text_col=text_col)
+        repeated_lines(docs, text_col=text_col, min_chars=min_chars)
         .groupBy("doc_row").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
     )
     gone = sized(gone, "dropped_lines")

@@ -68,7 +68,7 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(documents(spark, sf_dir)).select(
+    return linededup.line_dedup(documents(spark, sf_dir), min_chars=1).select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), "dropped",
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )
