@@ -178,6 +178,15 @@ def test_bins_of_short_lines():
     assert equal.min() >= linededup.LEAST_EQUAL
 
 
+def test_lines_candidates():
+    """Of pairs at similarity 0.8 to 0.82 fewer than 2 in 1,000 share no band."""
+    rng = np.random.default_rng(1)
+    lines = ["".join(rng.choice(list("abcdefghij"), 80)) for _ in range(4000)]
+    near = [x + "".join(rng.choice(list("abcdefghij"), 17)) for x in lines]  # 73 of 90 shingles
+    one, two = (linededup.band_keys(linededup.bins(x)) for x in (lines, near))
+    assert (~(one == two).any(axis=1)).sum() < 8
+
+
 def test_nearest(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 16)))]

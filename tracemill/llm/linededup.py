@@ -36,10 +36,10 @@ SHINGLE_CHARS = 8
 #: Characters of a line that takes part, where the caller does not say; ``op10_lines`` takes all but blank lines.
 MIN_CHARS = 16
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 16, 4
 _KEYS = [f"b{k}" for k in range(BANDS)]
-#: Equal bins of 32 that a pair needs to be compared in full; at 0.8 fewer come once in 30,000.
-LEAST_EQUAL = 16
+#: Equal bins of 64 that a pair needs to be compared in full; at 0.8 fewer come once in millions.
+LEAST_EQUAL = 32
 #: Characters whose shingles are made at a time (more in one line are one block).
 BLOCK_CHARS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
