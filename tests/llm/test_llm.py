@@ -207,3 +207,21 @@ def test_nearest(spark, tmp_path):
     assert got[0][0] == 304 and hits >= 27 and 300 not in got
     assert ann.search(e.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_nearest_in_a_large_group(spark, tmp_path):
+    """More near copies than candidates: the five nearest are those of brute force, copies by the smaller id."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 16))
+    x[:600] = x[0] + 0.02 * rng.normal(size=(600, 16))
+    x[600:640] = x[600]
+    spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    got = {}
+    for r in ann.search(e, F.col("vec_id") % 50 == 0, rerank=20, query_block=7, levels=2, words=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 900, 50):
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -9
+        assert got[q] == np.lexsort((np.arange(900), -score))[:5].tolist()

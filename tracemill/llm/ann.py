@@ -7,6 +7,12 @@ table of its products with all codewords; a vector's score is the sum of its
 entries over the stored norm.  The best ``rerank`` of each block are merged and
 compared again by the exact cosine on the original vectors.
 
+With each code its error is kept: the angle between the vector and its
+reconstruction.  The angle of a query to a vector is at least that to the
+reconstruction less the error, so a second scan passes over what cannot reach
+the query's ``k``-th exact cosine and compares all else, uncapped: the ``k``
+found are the nearest, however many vectors lie closer than the codes can tell.
+
 Queries are a stated set, compared with all codes: in blocks of bounded size,
 each sent to the tasks that scan the codes.
 
@@ -38,6 +44,10 @@ RERANK = 300
 #: Queries in one block; their vectors are what is broadcast.
 QUERY_BLOCK = 2_048
 SCAN_ROWS = 2_048
+#: Pairs of a query and a vector that the second scan looks at together.
+PAIRS = 1 << 20
+#: What rounding in single precision can do to a guess, at most.
+ROUNDING = 1e-5
 
 
 class Codebooks:
@@ -128,8 +138,17 @@ def fit_sample(vectors: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
     return _unit(np.array([v for v in lists if len(v) == dim]))
 
 
+def _errors(books: Codebooks, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Angles between unit vectors and their reconstructions; pi where there is none."""
+    made = books.words.astype(np.float64)[np.arange(codes.shape[1]), codes].sum(1)
+    norm = np.linalg.norm(made, axis=1)
+    there = norm > 1e-3
+    cosines = np.einsum("ij,ij->i", made, x) / np.where(there, norm, 1)
+    return np.where(there, np.arccos(np.clip(cosines, -1, 1)) + 1e-7, np.pi)
+
+
 def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, **sizes):
-    """(codebooks, codes, vectors): the written codes are vec_id, codes, norm."""
+    """(codebooks, codes, vectors): the written codes are vec_id, codes, norm, error and vec."""
     used = usable(vectors, id_col, vec_col)
     used = used.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     sample = fit_sample(used, sample_rows)
@@ -142,14 +161,15 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "e
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                codes, norms = books.encode(_unit(_matrix(some.column(1))))
+                unit = _unit(_matrix(some.column(1)))
+                codes, norms = books.encode(unit)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)],
-                    names=["vec_id", "codes", "norm"],
+                    [some.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(_errors(books, unit, codes)), some.column(1)],
+                    names=["vec_id", "codes", "norm", "error", "vec"],
                 )
 
     used = used.where(F.size("vec") == dim)
-    codes = used.mapInArrow(run, "vec_id long, codes binary, norm float")
+    codes = used.mapInArrow(run, "vec_id long, codes binary, norm float, error double, vec array<double>")
     return books, written(codes, "codes"), used
 
 
@@ -198,6 +218,57 @@ def _scan(query_ids: np.ndarray, sent, rerank: int):
     return run
 
 
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of columns ``i`` of ``x`` and ``j`` of ``y``, summed in the order of the components, as ``cosine`` does."""
+    out = np.zeros(len(i))
+    for p, q in zip(x, y, strict=True):
+        out += p[i] * q[j]
+    return out
+
+
+def _within(query_ids: np.ndarray, sent, k: int):
+    """The ``k`` nearest in a task of all vectors that may be as near as each query's limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, queries, limit = sent.value
+        table, n, limit = books.tables(_unit(queries)), len(query_ids), limit.copy()
+        queries, each = np.ascontiguousarray(queries.T), np.arange(n)
+        length = np.sqrt(_dots(queries, each, queries, each))
+        held_of, held_ids, held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        step = max(1, PAIRS // n)
+        for batch in batches:
+            ids, errors, norms = (batch.column(c).to_numpy() for c in (0, 3, 2))
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
+            norms, vecs = np.maximum(norms, 1e-12), np.ascontiguousarray(_matrix(batch.column(4)).T)
+            every = np.arange(len(ids))
+            lengths = np.sqrt(_dots(vecs, every, vecs, every))
+            for at in range(0, len(ids), step):
+                part = slice(at, at + step)
+                score = np.zeros((len(ids[part]), n), np.float32)
+                for level in range(len(table)):
+                    score += table[level][codes[part, level]]
+                widest = np.minimum(np.arccos(np.clip(limit, -1, 1)) + 1e-7 + errors[part, None], np.pi)
+                may = score / norms[part, None] + ROUNDING >= np.cos(widest)
+                i, j = np.nonzero(may & (ids[part, None] != query_ids))
+                i += at
+                exact = _dots(queries, j, vecs, i) / (length[j] * lengths[i])
+                near = ~(exact < limit[j])
+                held_of = np.concatenate([held_of, j[near]])
+                held_ids, held = np.concatenate([held_ids, ids[i[near]]]), np.concatenate([held, exact[near]])
+                order = np.lexsort((held_ids, -held, held_of))
+                first = np.searchsorted(held_of[order], each)
+                place = np.arange(len(order)) - first[held_of[order]]
+                order, place = order[place < k], place[place < k]
+                held_of, held_ids, held = held_of[order], held_ids[order], held[order]
+                last = place == k - 1
+                limit[held_of[last]] = np.maximum(limit[held_of[last]], held[last])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[held_of]), pa.array(held_ids), pa.array(held)], names=["query_id", "vec_id", "score"]
+        )
+
+    return run
+
+
 def cosine(a, b) -> F.Column:
     """Cosine in double precision, summed in the order of the components."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -208,7 +279,7 @@ def search(
     vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding",
     rerank: int = RERANK, query_block: int = QUERY_BLOCK, **index,
 ) -> DataFrame:
-    """The ``k`` nearest found of every vector for which ``is_query`` (a condition
+    """The ``k`` nearest of every vector for which ``is_query`` (a condition
     on vec_id) holds: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     books, codes, used = build_index(vectors, id_col=id_col, vec_col=vec_col, **index)
@@ -217,17 +288,26 @@ def search(
     queries = written(used.where(is_query), "queries")
     blocks = max(1, -(-queries.count() // query_block))
     block_of = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks))
-    found = None
-    for block in range(blocks):
-        rows = queries.where(block_of == block).toArrow()
-        if not rows.num_rows:
-            continue
+
+    def scanned(queries: DataFrame, scan, schema: str) -> DataFrame | None:
+        found = None
+        for block in range(blocks):
+            rows = queries.where(block_of == block).toArrow()
+            if rows.num_rows:
+                part = codes.mapInArrow(scan(rows), schema)
+                found = part if found is None else found.union(part)
+        return found
+
+    def guess(rows: pa.Table):
         # The codebooks and one block of queries: of a fixed size, whatever the input.
         sent = spark.sparkContext.broadcast((books, _unit(_matrix(rows.column("vec")))))
-        part = codes.mapInArrow(
-            _scan(rows.column("vec_id").to_numpy().copy(), sent, rerank), "query_id long, vec_id long, guess float"
-        )
-        found = part if found is None else found.union(part)
+        return _scan(rows.column("vec_id").to_numpy().copy(), sent, rerank)
+
+    def within(rows: pa.Table):
+        sent = spark.sparkContext.broadcast((books, _matrix(rows.column("vec")), rows.column("limit").to_numpy().copy()))
+        return _within(rows.column("vec_id").to_numpy().copy(), sent, k)
+
+    found = scanned(queries, guess, "query_id long, vec_id long, guess float")
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     guessed = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
@@ -238,7 +318,11 @@ def search(
         .select("query_id", "vec_id", cosine("query_vec", "found_vec").alias("score"))
     )
     exact = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        pairs.withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    best = lambda pairs: pairs.withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
+    first = written(best(pairs), "first")
+    limits = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("limit"))
+    # Fewer than k found set no limit.
+    limited = written(queries.join(limits, "vec_id", "left").select("vec_id", "vec", F.coalesce("limit", F.lit(-2.0)).alias("limit")), "limited")
+    more = scanned(limited, within, "query_id long, vec_id long, score double")
+    both = first.select("query_id", "vec_id", "score").union(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return best(both).select("query_id", "rank", "vec_id", "score")
