@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,19 @@ class Codebooks:
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        flat = words.reshape(-1, words.shape[-1])
-        self.gram = flat @ flat.T
-        self.squares = np.diag(self.gram).copy()
+
+    def __reduce__(self):
+        # What is sent are the words; their products, far larger, are made where vectors are encoded.
+        return Codebooks, (self.words,)
+
+    @cached_property
+    def gram(self) -> np.ndarray:
+        flat = self.words.reshape(-1, self.words.shape[-1])
+        return flat @ flat.T
+
+    @cached_property
+    def squares(self) -> np.ndarray:
+        return np.diag(self.gram).copy()
 
     @classmethod
     def fit(cls, x: np.ndarray, levels: int = LEVELS, words: int = WORDS, rounds: int = 8, seed: int = 0) -> Codebooks:
