@@ -151,6 +151,13 @@ def test_pii(docs, empty, spark):
     assert len({r.made for r in made}) == 300 and not {r.made for r in made} & {r.entity for r in made}
 
 
+def test_pii_quoted_key(spark):
+    x = spark.createDataFrame([(1, '{"api_key": "s3cretvalue1", "password" : "hunter2hunter", "id": "plainvalue"}')], "doc_id long, text string")
+    got = pii.pseudonymise(x).first()
+    assert [e.kind for e in got.entities] == ["secret", "secret"] and "s3cretvalue1" not in got.text and "hunter2hunter" not in got.text
+    assert got.text.startswith('{"api_key": "') and got.text.endswith('", "id": "plainvalue"}')
+
+
 def test_lines(spark, docs, empty, tmp_path):
     line = "the quick brown fox jumps over the lazy dog near the river bank today"
     rows = [(1, f"{line}\nshort\n\nshort"), (2, f"another line that nobody else has\n{line.replace('today', 'todax')}"), (3, None), (4, "")]

@@ -4,7 +4,9 @@ Entities are found by patterns (below).  Each gets a replacement derived from
 SHA-256 of (key, type, canonical form, attempt): of the same type and format,
 digits for digits and letters for letters of the same case, a name of the same
 gender and script.  The same canonical form gets the same surrogate in every
-text, so what referred to one entity still does.
+text, so what referred to one entity still does.  A secret is a value after a
+key word, quoted or not, and ``=`` or ``:``, or a key with the prefix AKIA or
+ASIA; a name is found after a title only.
 
 Distinctness is checked over the whole table: of entities of a type that come to
 one surrogate, and of surrogates that equal an entity found, the first keeps it
@@ -35,7 +37,7 @@ _NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
 #: Patterns by type, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key))\s*[=:]\s*[\"']?[^\s\"',;]{6,}",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key))[\"']?\s*[=:]\s*[\"']?[^\s\"',;]{6,}",
     "cloud_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
