@@ -37,6 +37,93 @@ def test_greedy_and_pairwise(spark):
     assert [r.ord for r in kept] == [0, 1, 2, 3]
 
 
+def test_greedy_large_groups(spark):
+    """Groups in Arrow blocks, of one expression and of one sample choose alike."""
+    import numpy as np
+
+    x = np.random.default_rng(0).normal(size=(400, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([("f" if k < 300 else "g", 0 if k < 300 else k // 7, k, v.tolist()) for k, v in enumerate(x)], "file string, problem int, ord int, v array<double>")
+    want, kept = set(), {}
+    for k, v in enumerate(x):
+        group = kept.setdefault(("f", 0) if k < 300 else ("g", k // 7), [])
+        if all(float(v @ w) <= 0.9 for w in group):
+            group.append(v)
+            want.add(k)
+    assert {r.ord for r in dedup.greedy_dedup(rows, ("file", "problem"), "ord", "v", 0.9).collect()} == want
+    stats = {r.file: r for r in dedup.dedup_stats(rows, dedup.greedy_dedup(rows, ("file", "problem"), "ord", "v", 0.9), "file", "problem", by="file").collect()}
+    assert stats[None].before == 400 and stats[None].after == len(want) and stats["f"].problems == 1 and stats["f"].pairs_total == 299
+
+
+def test_dedup_stats_count_before(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5), ("c", 6), ("c", 7)], "problem string, ord int")
+    s = dedup.dedup_stats(rows, rows.where("ord in (1, 3, 4, 5)"), "problem").first()
+    assert (s.one, s.two, s.more, s.pairs_total, s.pairs_above, s.discarded) == (1, 1, 1, 4, 3, 3)
+
+
+def test_positions_and_statistics(spark):
+    rows = spark.createDataFrame([(float(k * k % 101),) for k in range(1, 100)] + [(5.0,)] * 50, "sim double")
+    got = dedup.positions(rows, "sim").orderBy("pos").collect()
+    values = [r.sim for r in got]
+    assert [r.pos for r in got] == list(range(1, 150)) and values == sorted(values)
+    s = metrics.similarity_stats(rows).first()
+    assert s.mid == values[74] and s.n == 149 and metrics.similarity_stats(rows.limit(0)).first().mid is None
+    edges = spark.createDataFrame([(x,) for x in (-0.1, 0.0, 0.5, 0.969, 0.97, 0.985, 0.99, 1.0)], "sim double")
+    assert {r.lo: r.n for r in metrics.similarity_histogram(edges).collect() if r.n} == {0.0: 1, 0.5: 1, 0.95: 1, 0.97: 1, 0.98: 1, 0.99: 1}
+
+
+def test_embed(spark):
+    import numpy as np
+
+    seen = []
+
+    def encoder(texts):
+        assert len(texts) <= 2
+        return np.array([[len(t), 1.0] for t in texts])
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["abc", "", None, "x", "yz"])], "k int, text string").coalesce(1)
+    got = {r.k: r.embedding for r in dedup.embed(rows, encoder, "text", batch=2).collect()}
+    assert got[1] == got[2] == [0.0, 1.0] and abs(got[0][0] - 3 / 10**0.5) < 1e-12 and not seen
+
+
+def test_evaluate(spark, tmp_path):
+    from tracemill.operators import evaluate
+
+    problems = spark.createDataFrame([("a", "1", "t", "l"), ("b", "2", "t", "k"), ("c", "3", "u", "l"), ("d", "x", None, None)], "problem string, answer string, type string, level string")
+
+    def model(rows, settings):
+        assert settings.top_p == 0.95
+        return rows.withColumn("generated", F.when(F.col("problem") == "c", "no").otherwise(F.concat(F.lit("<think>\\boxed{9}</think>\\boxed{"), F.col("answer"), F.lit("}"))))
+
+    settings = evaluate.Settings(clean_tags=True, max_samples=3)
+    done = evaluate.evaluate_all({"one": (problems, False), "two": (problems, True)}, model, settings, output=str(tmp_path / "p.jsonl"), report_path=str(tmp_path / "r.txt"))
+    assert (done["one"]["total"], done["one"]["correct"], done["one"]["empty"], done["two"]["correct"]) == (3, 2, 1, 2)
+    text = (tmp_path / "r_one.txt").read_text()
+    assert "Accuracy: 66.67%" in text and "By type" in text and "Non-numeric" in text and "Non-numeric" not in (tmp_path / "r_two.txt").read_text()
+    rows = spark.read.json(str(tmp_path / "p_two.jsonl")).collect()
+    assert {r.problem: r.is_correct for r in rows} == {"a": True, "b": True, "c": False}
+    # Without cleaning the tags the first box is the one thought aloud.
+    assert evaluate.predict(problems, model, evaluate.BASELINE).where("is_correct").count() == 0
+    assert report.dataset_summary([done["two"], done["one"]]).startswith("one ")
+
+
+def test_boxed_loader_with_split(spark, tmp_path):
+    raw = spark.createDataFrame([(f"p{k % 40}", "\\boxed{%d}" % (k % 40) if k % 8 else "none", "t", "l") for k in range(80)], "problem string, solution string, type string, level string")
+    done = jsonl.split_boxed(raw, str(tmp_path / "train"), str(tmp_path / "test"))
+    assert done == {"train": 63, "test": 7, "missing": 10}
+    train, test = (spark.read.json(str(tmp_path / n)) for n in ("train", "test"))
+    assert train.count() == 63 and test.count() == 7 and set(train.columns) == {"problem", "answer", "type", "level"}
+
+
+def test_sections_of_reports():
+    c = {"total": 10, "empty": 1, "non_numeric": 1, "valid": 8, "correct": 4}
+    problems = {"problems": 5, "with_truth": 4, "all_correct": 1, "any_correct": 3, "none_correct": 1, "avg_samples": 2.0}
+    rounds = [{**c, "round": 10}, {**c, "round": 2}]
+    text = report.full_report("T", c, problems=problems, types=[{**c, "name": "b"}, {**c, "name": "a"}], rounds=rounds)
+    assert "Any correct: 3 (75.0%)" in text and "Without a truth: 1" in text and text.index("Round 2:") < text.index("Round 10:") and "By level" not in text
+    assert report.round_section(rounds[:1]) == "" and "0.0%" in report.problem_section({**problems, "with_truth": 0})
+
+
 def test_split_is_exact_and_shuffle_repeats(spark):
     rows = spark.range(1003)
     assert assemble.split(rows, "id").where("part = 'train'").count() == 902
@@ -48,11 +135,15 @@ def test_adaptive_rounds(spark):
     problems = spark.createDataFrame([("order 1",), ("order 3",), ("order 6",)], "problem string")
     made = adaptive.adaptive_sample(problems, fake_provider)
     assert dict(made.groupBy("problem").count().collect()) == {"order 1": 3, "order 3": 7, "order 6": 11}
+    assert {r.answer for r in made.where("problem = 'order 1'").collect()} == {"order 1 at 1"}
+    assert [(r.round, r.high, r.low) for r in adaptive.confidence_by_round(made).orderBy("round").collect()][:3] == [(1, 1, 2), (2, 0, 2), (3, 1, 1)]
     assert spark.range(1).select(adaptive.confident(F.array(F.lit(-2.0), F.lit(-1.8)))).first()[0] is True
     assert spark.range(1).select(adaptive.confident(F.array(F.lit(None).cast("double")))).first()[0] is False
 
 
 def test_jsonl_round_trip(spark, tmp_path):
+    (tmp_path / "blank.jsonl").write_text("a\n \t \n\u00a0\n\t\nb ")
+    assert [r.value for r in jsonl.read_lines(spark, str(tmp_path / "blank.jsonl")).collect()] == ["a", "b "]
     (tmp_path / "in.jsonl").write_text('{"problem": "p", "answer": "é"}\n\n{"problem": "q", "answer": "x", "type": "t"}\n')
     rows = jsonl.read_jsonl(spark, str(tmp_path / "in.jsonl"), jsonl.PROBLEM)
     assert rows.count() == 2 and jsonl.read_lines(spark, str(tmp_path / "in.jsonl")).count() == 2

@@ -57,6 +57,25 @@ def test_fallbacks(spark):
     assert value(spark, "-5 and 1,234.5 or 1234,567", X.numbers) == ["5", "1,234.5", "1234", "567"]
 
 
+@pytest.mark.parametrize("x,want", [
+    ("Jan 5", "Jan 5"), ("Dec 25th", "Dec 25"), ("may 3rd", "May 3"), ("SEP 1", "Sep 1"), ("In total 5 on June 20", "5"), ("3 apples in May 7", "3"),
+    ("June 201", "201"), ("June 20thx", "20"), ("June 20.", "June 20"), ("about 3.5/4", r"\frac{3.5}{4}"), ("none", ""),
+])
+def test_dates(spark, x, want):
+    assert value(spark, "**Answer**: " + x, X.math_fallback) == want
+
+
+@pytest.mark.parametrize("math", [False, True])
+def test_steps_as_columns(spark, math):
+    """One column a step gives what the single expression gives, also under a filter."""
+    texts = [r"\boxed{\frac{1}{\text{a{b}}}}", r"\boxed{12}", r"\boxed{\dfrac{1}{2} \text{ m}}", "**Answer:** Jan 5", "3 of 1,234.", "", None, r"\boxed{07:30}", r"\boxed{\text{open", r"\boxed{\overline{\overline{3}}}"]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "k int, answer string, _value string").drop("_value")
+    got = X.with_final_answer(rows, math=math)
+    want = rows.withColumn("final_answer", X.final_answer(F.col("answer"), math))
+    assert sorted(got.collect(), key=lambda r: r.k) == sorted(want.collect(), key=lambda r: r.k)
+    assert got.where("final_answer = ''").count() == want.where("final_answer = ''").count()
+
+
 def test_validity(spark):
     for x in ("35/6", "-3/4", "990.00", "1/0"):
         assert value(spark, x, C.is_numeric)

@@ -7,17 +7,20 @@ marker finds the same content without the fold.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 ANSWER = r"\*\*Answer:?\*\*\s*:?\s*"
-#: The month names that an answer may give.
+#: The month names that an answer may give, in full or short.
 MONTHS = (
-    "January February March April May June July August September October November December".split()
-)
+    "January February March April May June July August September October November December "
+    "Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec"
+).split()
 _FLAT = r"[^{}]*+"
 _DEEP = rf"(?:[^{{}}]++|\{{(?:[^{{}}]++|\{{(?:[^{{}}]++|\{{{_FLAT}\}})*+\}})*+\}})*+"
 #: Stands for a marker while a text is folded (a private-use character).
@@ -87,9 +90,18 @@ def last_boxed_content(text: Column) -> Column:
     return strip(F.regexp_extract(found, r"(?s)\{(.*)\}", 1))
 
 
+def _flat(x: Column, marker: str, blocks: int) -> tuple[Column, str]:
+    """Whether ``blocks`` blocks without inner braces follow every ``marker``, and the pattern of one with them."""
+    one = r"\{([^{}]*)\}"
+    mark, rest = re.escape(marker.rstrip("{")), one * blocks
+    return ~F.rlike(x, F.lit(f"{mark}(?!{rest})" if blocks > 1 else f"{mark}\\{{(?![^{{}}]*\\}})")), mark + rest
+
+
 def remove_blocks(text: Column, marker: str, keep: bool = False) -> Column:
     """Without the balanced blocks that ``marker`` opens; ``keep`` leaves what is
-    in them.  An open block goes to the end; kept, it loses its last character (E4)."""
+    in them.  An open block goes to the end; kept, it loses its last character (E4).
+
+    Blocks without inner braces go by a pattern, others by a fold."""
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit("").alias("inside"))
 
     def step(s: Column, c: Column) -> Column:
@@ -110,9 +122,11 @@ def remove_blocks(text: Column, marker: str, keep: bool = False) -> Column:
 
     def folded(x: Column) -> Column:
         chars = F.split(F.replace(x, F.lit(marker), F.lit(_MARK)), "")
-        return F.when(F.contains(x, F.lit(marker)), F.aggregate(chars, start, step, finish)).otherwise(x)
+        flat, block = _flat(x, marker, 1)
+        fast = F.when(flat, F.regexp_replace(x, block, "$1" if keep else ""))
+        return F.when(F.contains(x, F.lit(marker)), fast.otherwise(F.aggregate(chars, start, step, finish))).otherwise(x)
 
-    return let(text, folded)
+    return folded(text)
 
 
 def fractions(text: Column, marker: str) -> Column:
@@ -154,9 +168,11 @@ def fractions(text: Column, marker: str) -> Column:
 
     def folded(x: Column) -> Column:
         chars = F.split(F.replace(x, F.lit(marker), F.lit(_MARK)), "")
-        return F.when(F.contains(x, F.lit(marker)), F.aggregate(chars, start, step, finish)).otherwise(x)
+        flat, block = _flat(x, marker, 2)
+        fast = F.when(flat, F.regexp_replace(x, block, "$1/$2"))
+        return F.when(F.contains(x, F.lit(marker)), fast.otherwise(F.aggregate(chars, start, step, finish))).otherwise(x)
 
-    return let(text, folded)
+    return folded(text)
 
 
 def numbers(text: Column) -> Column:
@@ -190,9 +206,10 @@ def last_number(text: Column) -> Column:
 
 
 def math_fallback(text: Column) -> Column:
-    """After the answer marker: a month and day, else the first number or fraction."""
+    """After the answer marker: the month and day it starts with, else the first number or fraction."""
     _, after = _around_answer(text)
-    date = rf"(?i)({'|'.join(MONTHS)})\s+(\d{{1,2}})(?:st|nd|rd|th)?"
+    after = strip(after)
+    date = rf"(?i)^({'|'.join(MONTHS)})\s+(\d{{1,2}})(?:st|nd|rd|th)?\b"
     number = r"\d+(?:\.\d+)?(?:/\d+(?:\.\d+)?)?"
     value = F.regexp_extract(after, number, 0)
     found = (
@@ -203,42 +220,87 @@ def math_fallback(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(ANSWER)), found).otherwise("")
 
 
-def clean(text: Column, math: bool = False) -> Column:
-    """An extracted answer without units, formatting and LaTeX."""
-    x = remove_blocks(text, "\\text{", keep=math)
-    x = remove_blocks(x, "\\overline{", keep=True)
-    if not math:
-        x = fractions(fractions(x, "\\dfrac"), "\\frac")
-        x = remove_blocks(remove_blocks(x, "\\begin{"), "\\end{")
-    # One pass for each literal that deleting another could bring about, in order.
-    for gone in ("\\,", "\\!", "\\$", "$", "\\%", "%"):
-        x = F.replace(x, F.lit(gone), F.lit(""))
-    x = F.regexp_replace(x, r"\^\{?\\circ\}?", "")
-    for gone in ("\\circ", "\\\\", "£", "€"):
+def _deleted(x: Column, *literals: str) -> Column:
+    for gone in literals:
         x = F.replace(x, F.lit(gone), F.lit(""))
+    return x
+
+
+def _clock(x: Column) -> Column:
+    clock = r"^0?(\d{1,2}):(\d{2})$"
+    hour = F.regexp_extract(x, clock, 1).try_cast("int").cast("string")
+    return F.when(F.rlike(x, F.lit(clock)), F.concat(hour, F.regexp_extract(x, clock, 2))).otherwise(x)
+
+
+def _signs(x: Column, math: bool) -> Column:
+    # One pass for each literal that deleting another could bring about, in order.
+    x = F.regexp_replace(_deleted(x, "\\,", "\\!", "\\$", "$", "\\%", "%"), r"\^\{?\\circ\}?", "")
+    x = _deleted(x, "\\circ", "\\\\", "£", "€")
     if not math:
         x = F.regexp_replace(F.regexp_replace(x, r"\^[234]", ""), "[²³]", "")
     x = F.regexp_replace(x, r"(?<=\d),(?=\d)", "")
+    return squeeze(x if math else _deleted(x, "\\"))
+
+
+def cleaning(math: bool = False) -> list[Callable[[Column], Column]]:
+    """The steps of :func:`clean`, each of one column."""
+    steps = [lambda x: remove_blocks(x, "\\text{", keep=math), lambda x: remove_blocks(x, "\\overline{", keep=True)]
     if not math:
-        x = F.replace(x, F.lit("\\"), F.lit(""))
-    x = squeeze(x)
-    if not math:
-        clock = r"^0?(\d{1,2}):(\d{2})$"
-        hour = lambda x: F.regexp_extract(x, clock, 1).try_cast("int").cast("string")
-        x = let(x, lambda x: F.when(F.rlike(x, F.lit(clock)), F.concat(hour(x), F.regexp_extract(x, clock, 2))).otherwise(x))
-    return x
+        steps += [
+            lambda x: fractions(x, "\\dfrac"), lambda x: fractions(x, "\\frac"),
+            lambda x: remove_blocks(x, "\\begin{"), lambda x: remove_blocks(x, "\\end{"),
+        ]
+    return [*steps, lambda x: _signs(x, math), *([] if math else [_clock])]
+
+
+def extraction(math: bool = False) -> list[Callable[[Column], Column]]:
+    """Where an answer is looked for, in order."""
+    return [extract_boxed, math_fallback] if math else [extract_boxed, answer_fallback, last_number]
+
+
+#: What cleaning leaves as it is.
+_PLAIN = r"^-?\d+(\.\d+)?$"
+
+
+def clean(text: Column, math: bool = False) -> Column:
+    """An extracted answer without units, formatting and LaTeX."""
+    done = reduce(let, cleaning(math), text)
+    return F.when(F.rlike(text, F.lit(_PLAIN)), text).otherwise(done)
 
 
 def raw_answer(text: Column, math: bool = False) -> Column:
     """The first non-empty of the extraction steps, '' if all are."""
-    steps = (extract_boxed, math_fallback) if math else (extract_boxed, answer_fallback, last_number)
     some = lambda x: let(x, lambda v: F.when(v != "", v))
-    return F.coalesce(*[some(s(text)) for s in steps], F.lit(""))
+    return F.coalesce(*[some(s(text)) for s in extraction(math)], F.lit(""))
 
 
 def final_answer(text: Column, math: bool = False) -> Column:
     """Extraction, then cleaning; '' where none is found."""
-    return let(raw_answer(text, math), lambda raw: F.when(raw == "", "").otherwise(clean(raw, math)))
+    return let(raw_answer(text, math), lambda raw: clean(raw, math))
+
+
+def with_final_answer(rows: DataFrame, text: str = "answer", name: str = "final_answer", math: bool = False) -> DataFrame:
+    """:func:`final_answer` as a column.
+
+    Each step is a column made of the one before.  What a step reads several times
+    is computed once, as ``explode`` of an array of one keeps the optimizer from
+    putting the steps into each other (a filter on the result would double them at
+    every step); steps with nothing to do pass by a comparison.
+    """
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    x, plain = F.col("_value"), F.col("_plain")
+
+    def then(rows: DataFrame, value: Column, *more: Column) -> DataFrame:
+        return rows.select(*kept, *more, F.explode(F.array(value)).alias("_value"))
+
+    first, *others = extraction(math)
+    rows = then(rows, first(F.col(text)))
+    for step in others:
+        rows = then(rows, F.when(x == "", step(F.col(text))).otherwise(x))
+    rows = rows.select(*kept, x, F.explode(F.array(F.rlike(x, F.lit(_PLAIN)) | (x == ""))).alias("_plain"))
+    for step in cleaning(math):
+        rows = then(rows, F.when(plain, x).otherwise(step(x)), plain)
+    return rows.select(*kept, x.alias(name))
 
 
 def answer_source(text: Column, math: bool = False) -> Column:
@@ -251,6 +313,11 @@ def answer_source(text: Column, math: bool = False) -> Column:
     )
 
 
+def with_period(text: Column) -> Column:
+    """The text and a period, as older traces have it (P10)."""
+    return F.concat(text, F.lit("."))
+
+
 def strip_think(text: Column) -> Column:
     """What follows the first ``</think>``, trimmed."""
     at = F.instr(text, "</think>")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_think
+
 SAMPLE = "problem string, answer string, sample_idx int, token_logprobs array<double>"
 
 
@@ -25,18 +27,34 @@ def adaptive_sample(
     problems: DataFrame, provider: Callable[[DataFrame, float, int, int], DataFrame], *, t_low: float = 0.3, t_high: float = 0.9,
     n_low: int = 3, n_per_iter: int = 2, max_iters: int = 4, threshold: float = -1.8,
 ) -> DataFrame:
-    """Samples of all rounds.  ``provider(problems, temperature, n, round)`` gives
-    rows of ``SAMPLE``; problems whose best mean log-probability over all rounds
-    reaches the threshold leave.  Every round is checkpointed."""
-    todo, out, best = problems.select("problem"), None, None
+    """Samples of all rounds, without what models think aloud.  ``provider(problems,
+    temperature, n, round)`` gives rows of ``SAMPLE``; problems with a mean
+    log-probability, of any round so far, that reaches the threshold leave.  Rows of
+    equal ``problem`` are one problem.  A round is written once."""
+    problems, out = problems.select("problem").distinct(), None
+    todo = problems
     for turn in range(1, max_iters + 2):
         temperature, n = (t_low, n_low) if turn == 1 else (t_high, n_per_iter)
-        made = provider(todo, temperature, n, turn).withColumns({"round": F.lit(turn), "temperature": F.lit(temperature)}).checkpoint()
+        made = provider(todo, temperature, n, turn).withColumns({
+            "answer": strip_think(F.col("answer")), "round": F.lit(turn), "temperature": F.lit(temperature),
+            "mean": mean_logprob(F.col("token_logprobs")),
+        }).checkpoint()
         out = made if out is None else out.unionByName(made)
-        scored = made.groupBy("problem").agg(F.max(mean_logprob(F.col("token_logprobs"))).alias("m"))
-        best = scored if best is None else best.unionByName(scored).groupBy("problem").agg(F.max("m").alias("m"))
-        best = best.checkpoint()
-        todo = todo.join(best.where(F.col("m") >= threshold), "problem", "left_anti").checkpoint()
-        if todo.isEmpty():
+        todo = problems.join(out.where(F.col("mean") >= threshold), "problem", "left_anti")
+        if turn > max_iters or todo.isEmpty():
             break
-    return out.select("problem", "answer", "temperature", "round", "sample_idx", "token_logprobs")
+    return out.select("problem", "answer", "temperature", "round", "sample_idx", "token_logprobs", "mean")
+
+
+def confidence_by_round(samples: DataFrame, threshold: float = -1.8) -> DataFrame:
+    """For each round (as of :func:`adaptive_sample`): the problems sampled, and how many of them
+    have reached the threshold with it (high) or not (low), with shares."""
+    first = F.min(F.when(F.col("mean") >= threshold, F.col("round"))).alias("reached")
+    per = samples.groupBy("problem").agg(first, F.max("round").alias("last"))
+    rounds = per.select(F.explode(F.sequence(F.lit(1), "last")).alias("round"), (F.col("reached") == F.col("round")).alias("sure"))
+    share = lambda c: F.round(c / F.count("*") * 100, 6)
+    high = F.count_if(F.coalesce("sure", F.lit(False)))
+    return rounds.groupBy("round").agg(
+        F.count("*").alias("problems"), high.alias("high"), (F.count("*") - high).alias("low"),
+        share(high).alias("high_pct"), share(F.count("*") - high).alias("low_pct"),
+    )

@@ -17,9 +17,9 @@ def shuffle_key(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
-def shuffle(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """A seeded order by the hash of a unique key: a range sort, the same in any engine."""
-    return rows.orderBy(shuffle_key(key, seed), key)
+def shuffle(rows: DataFrame, key: str, seed: int = 42, enabled: bool = True) -> DataFrame:
+    """A seeded order by the hash of a unique key: a range sort, the same in any engine; the rows as they are if not ``enabled``."""
+    return rows.orderBy(shuffle_key(key, seed), key) if enabled else rows
 
 
 def prefix(rows: DataFrame, order: str, most: int = 0) -> DataFrame:
@@ -27,11 +27,11 @@ def prefix(rows: DataFrame, order: str, most: int = 0) -> DataFrame:
     return rows.orderBy(order).limit(most) if most else rows
 
 
-def split(rows: DataFrame, key: str, train_share: float = 0.9, seed: int = 42) -> DataFrame:
+def split(rows: DataFrame, key: str, train_share: float = 0.9, seed: int = 42, tie: str | None = None) -> DataFrame:
     """``part``: train for the first floor(n * share) of the shuffled order, else test.
 
     The cut is a quantile of the hash, found by sizes of hash ranges: no row is
-    numbered in a single task.
+    numbered in a single task.  ``tie`` orders rows of one key.
     """
     hashed = rows.withColumn("_h", shuffle_key(key, seed)).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     sizes = hashed.groupBy("_b").agg(F.count("*").alias("_n"))  # 4096 rows at most
@@ -39,7 +39,7 @@ def split(rows: DataFrame, key: str, train_share: float = 0.9, seed: int = 42) -
         "_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"),
         F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(train_share)).alias("_cut"),
     )
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) + F.col("_s")
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key, *([tie] if tie else []))) + F.col("_s")
     return (
         hashed.join(F.broadcast(starts), "_b")
         .withColumn("part", F.when(rank <= F.col("_cut"), "train").otherwise("test"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.compare import is_correct, is_numeric, number_value
-from ..functions.text import final_answer
+from ..functions.compare import is_numeric, number_value
+from ..functions.text import squeeze, with_final_answer
 
 
 def last_truth(truth: DataFrame, order: str = "ord") -> DataFrame:
@@ -20,13 +20,16 @@ def grade(samples: DataFrame, truth: DataFrame, math: bool = False) -> DataFrame
 
     ``truth`` has one row a problem; Spark broadcasts it if it is small.
     """
-    answered = samples.withColumn("final_answer", final_answer(F.col("answer"), math))
+    columns = [*samples.columns, "final_answer", "ground_truth", "status", "is_correct"]
     status = F.when(F.col("final_answer") == "", "empty")
     if not math:
         status = status.when(~is_numeric(F.col("final_answer")), "non_numeric")
-    status = status.otherwise("valid")
-    correct = is_correct(F.col("final_answer"), F.col("ground_truth"), math) & (F.col("status") == "valid")
-    return answered.join(truth, "problem", "left").withColumn("status", status).withColumn("is_correct", correct)
+    value = squeeze if math else number_value
+    answered = with_final_answer(samples, math=math).withColumn("status", status.otherwise("valid"))
+    answered = answered.withColumn("_value", F.when(F.col("status") == "valid", value(F.col("final_answer"))))
+    truth = truth.select("problem", "ground_truth", value(F.col("ground_truth")).alias("_truth"))
+    equal = F.col("_value") == F.col("_truth") if math else F.abs(F.col("_value") - F.col("_truth")) < 1e-9
+    return answered.join(truth, "problem", "left").withColumn("is_correct", F.coalesce(equal, F.lit(False))).select(*columns)
 
 
 def comparable(graded: DataFrame, math: bool = False) -> DataFrame:
@@ -45,6 +48,11 @@ def incorrect_rows(graded: DataFrame, adaptive: bool = False, math: bool = False
     return rows.where("not is_correct").withColumnRenamed("answer", "teacher_answer")
 
 
+def empty_rows(rows: DataFrame) -> DataFrame:
+    """Rows in which no answer was found."""
+    return rows.where(F.coalesce("final_answer", F.lit("")) == "")
+
+
 def bad_rows(rows: DataFrame) -> DataFrame:
     return rows.where(~is_numeric(F.coalesce("final_answer", F.lit(""))))
 

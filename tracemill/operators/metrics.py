@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .dedup import positions
 
 
 def counters() -> list[Column]:
@@ -62,12 +63,22 @@ def group_sizes(rows: DataFrame, key: str) -> DataFrame:
 
 
 def similarity_stats(pairs: DataFrame, x: str = "sim") -> DataFrame:
-    made = {"low": F.min(x), "high": F.max(x), "mean": F.avg(x), "mid": F.median(x), "std": F.stddev_pop(x)}
-    return pairs.agg(F.count("*").alias("n"), *[F.round(v, 6).alias(k) for k, v in made.items()])
+    made = {"low": F.min(x), "high": F.max(x), "mean": F.avg(x), "std": F.stddev_pop(x)}
+    stats = pairs.agg(F.count("*").alias("n"), *[F.round(v, 6).alias(k) for k, v in made.items()])
+    n = pairs.count()
+    # The one or two in the middle of the order.
+    middle = positions(pairs.select(x), x).where(F.col("pos").isin((n + 1) // 2, n // 2 + 1)).agg(F.round(F.avg(x), 6).alias("mid"))
+    return stats.join(F.broadcast(middle)).select("n", "low", "high", "mean", "mid", "std")
 
 
-#: Bounds of the similarity bins, half open.
-BINS = (0.0, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.95, 0.98, 1.0)
+def length_stats(rows: DataFrame, by: str, text: str = "answer") -> DataFrame:
+    """Characters of the texts of each file: rows, sum and mean."""
+    n = F.length(F.coalesce(text, F.lit("")))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(n).alias("chars"), F.round(F.avg(n), 6).alias("mean_chars"))
+
+
+#: Bounds of the similarity bins, half open.
+BINS = (0.0, 0.5, 0.7, 0.8, 0.85, 0.9, 0.92, 0.95, 0.97, 0.98, 0.99, 1.0)
 
 
 def similarity_histogram(pairs: DataFrame, x: str = "sim", bins: tuple[float, ...] = BINS) -> DataFrame:

@@ -1,5 +1,6 @@
-"""The checkpoint folder: the cluster's, or one of our own where none is set."""
+"""The checkpoint folder: the cluster's, or one of our own where none is set and all runs in one process."""
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -8,4 +9,6 @@ from pyspark.sql import SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tracemill-"))

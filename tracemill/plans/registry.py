@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import adaptive, assemble, dedup, metrics
+from ..operators import adaptive, assemble, dedup, evaluate, metrics
 from ..operators import grade as G
 from ..sources import jsonl
 from .fixtures import SQL, problem, samples, table, truth
@@ -82,14 +83,22 @@ _text("clean_math", lambda a: X.clean(X.extract_boxed(a), True), "CASE WHEN line
 _text("answer_fallback", X.answer_fallback, "CASE line WHEN 2 THEN CAST(q AS VARCHAR) ELSE '' END")
 _text("last_number", X.last_number, "CASE WHEN line IN (2, 3) THEN CAST(q AS VARCHAR) ELSE '' END")
 _text("math_fallback", X.math_fallback, "CASE line WHEN 2 THEN CAST(q AS VARCHAR) ELSE '' END")
-_text("final_answer_numeric", X.final_answer, "fa")
-_text("final_answer_math", lambda a: X.final_answer(a, True), "fam")
 _text("strip_think", lambda a: F.length(X.strip_think(a)), r"""CAST(CASE line WHEN 1 THEN length('So \boxed{' || q || ' \text{ units}}')
   WHEN 2 THEN length('We get .**Answer:**  units.') + 1 + 2 * length(CAST(q AS VARCHAR)) WHEN 3 THEN length('The total is .') + length(CAST(q AS VARCHAR))
   WHEN 4 THEN length('\boxed{\$1,00}') + length(CAST(q AS VARCHAR)) WHEN 5 THEN length('\boxed{\frac{}{2}}') + length(CAST(2 * q AS VARCHAR))
   WHEN 6 THEN length('and then ') + length(CAST(q AS VARCHAR)) ELSE length('\boxed{x+}') + length(CAST(q AS VARCHAR)) END AS INT)""")
 
 
+@query(SQL + "SELECT problem, line, part, supp, fa AS v FROM a")
+def final_answer_numeric(spark, sf_dir):
+    return X.with_final_answer(samples(spark, sf_dir), name="v").select(*KEY, "v")
+
+
+@query(SQL + "SELECT problem, line, part, supp, fam AS v FROM a")
+def final_answer_math(spark, sf_dir):
+    return X.with_final_answer(samples(spark, sf_dir), name="v", math=True).select(*KEY, "v")
+
+
 @query(SQL + "SELECT CASE line WHEN 2 THEN 'answer' WHEN 3 THEN 'last_number' WHEN 6 THEN 'empty' ELSE 'boxed' END AS source, count(*) AS n FROM a GROUP BY 1")
 def extraction_provenance(spark, sf_dir):
     return samples(spark, sf_dir).groupBy(X.answer_source(F.col("answer")).alias("source")).agg(F.count("*").alias("n"))
@@ -105,7 +114,7 @@ def repetition_flag(spark, sf_dir):
 
 @query(SQL + "SELECT problem, line, part, supp, fa AS final_answer FROM a WHERE line IN (6, 7)")
 def bad_rows(spark, sf_dir):
-    return G.bad_rows(samples(spark, sf_dir).withColumn("final_answer", X.final_answer(F.col("answer")))).select(*KEY, "final_answer")
+    return G.bad_rows(X.with_final_answer(samples(spark, sf_dir))).select(*KEY, "final_answer")
 
 
 @query(SQL + "SELECT problem, line, part, supp, fa AS final_answer, ground_truth, status, is_correct FROM g")
@@ -202,15 +211,15 @@ def coverage(spark, sf_dir):
     return metrics.coverage(graded(spark, sf_dir), "round")
 
 
-_MODELS = ["line 1", "line 2", "line 3"]
+_MODELS = [f"line {k}" for k in range(1, 8)]
+_ACCURACY = "round(count(*) FILTER (line = {k} AND is_correct) * 1.0::DOUBLE / nullif(count(*) FILTER (line = {k}), 0) * 100, 6)"
 
 
-@query(SQL + """, r AS (SELECT "type", round(count(*) FILTER (line = 1 AND is_correct) * 1.0::DOUBLE / nullif(count(*) FILTER (line = 1), 0) * 100, 6) AS "line 1",
-  round(count(*) FILTER (line = 2 AND is_correct) * 1.0::DOUBLE / nullif(count(*) FILTER (line = 2), 0) * 100, 6) AS "line 2",
-  round(count(*) FILTER (line = 3 AND is_correct) * 1.0::DOUBLE / nullif(count(*) FILTER (line = 3), 0) * 100, 6) AS "line 3" FROM g WHERE line <= 3 GROUP BY "type")
-  SELECT *, CASE greatest(coalesce("line 1", -1), coalesce("line 2", -1), coalesce("line 3", -1)) WHEN coalesce("line 3", -1) THEN 'line 3' WHEN coalesce("line 2", -1) THEN 'line 2' ELSE 'line 1' END AS best FROM r""")
+# Of equal models the last in order of name is the best.
+@query(SQL + ', r AS (SELECT "type", ' + ", ".join(f'{_ACCURACY.format(k=k)} AS "line {k}"' for k in range(1, 8)) + ' FROM g GROUP BY "type") SELECT *, CASE greatest('
+  + ", ".join(f'coalesce("line {k}", -1)' for k in range(1, 8)) + ") " + " ".join(f"WHEN coalesce(\"line {k}\", -1) THEN 'line {k}'" for k in range(7, 0, -1)) + " END AS best FROM r")
 def model_pivot(spark, sf_dir):
-    g = graded(spark, sf_dir).where("line <= 3").withColumn("model", F.concat(F.lit("line "), F.col("line").cast("string")))
+    g = graded(spark, sf_dir).withColumn("model", F.concat(F.lit("line "), F.col("line").cast("string")))
     return metrics.model_pivot(g, _MODELS)
 
 
@@ -224,43 +233,66 @@ def baseline_delta(spark, sf_dir):
 # Deduplication -----------------------------------------------------------------------------------
 
 _VEC = "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-_GREEDY = _VEC + """, grp AS (SELECT label, list({'id': vec_id, 'v': v} ORDER BY vec_id) AS xs FROM e GROUP BY label),
-  kept AS (SELECT label, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x:
-    CASE WHEN len(list_filter(acc, lambda k: list_dot_product(k.v, x[1].v) > 0.3)) > 0 THEN acc ELSE list_concat(acc, x) END)).id AS vec_id FROM grp)"""
+_KEPT = """, grp AS (SELECT k, list({{'id': vec_id, 'v': v}} ORDER BY vec_id) AS xs FROM (SELECT *, {key} AS k FROM e) GROUP BY k),
+  kept AS (SELECT k, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x:
+    CASE WHEN len(list_filter(acc, lambda y: list_dot_product(y.v, x[1].v) > {least})) > 0 THEN acc ELSE list_concat(acc, x) END)).id AS vec_id FROM grp)"""
+#: A problem has up to six samples, of the files ``even`` and ``odd``; every 11th sample is its problem's only one.
+_PROBLEM = "CASE WHEN vec_id % 11 = 0 THEN -vec_id ELSE vec_id // 12 END"
+_GREEDY = _VEC + _KEPT.format(key=f"{{'file': CASE vec_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END, 'problem': {_PROBLEM}}}", least=0.1)
+
 
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = F.when(F.expr("vec_id % 2 = 0"), "even").otherwise("odd")
+    return table(spark, sf_dir, "embeddings").withColumns({"file": file, "problem": F.expr(_PROBLEM.replace("//", "div"))})
 
-@query(_GREEDY + "SELECT label, vec_id FROM kept")
+
+def _kept(rows: DataFrame) -> DataFrame:
+    return dedup.greedy_dedup(rows, ("file", "problem"), "vec_id", "embedding", 0.1)
+
+
+@query(_GREEDY + "SELECT k.file AS file, k.problem AS problem, vec_id FROM kept")
 def greedy_dedup(spark, sf_dir):
+    return _kept(_sampled(spark, sf_dir)).select("file", "problem", "vec_id")
+
+
+@query(_VEC + _KEPT.format(key="label", least=0.3) + "SELECT k AS label, vec_id FROM kept")
+def greedy_dedup_large(spark, sf_dir):
     return dedup.greedy_dedup(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3)
 
 
-@query(_GREEDY + """, b AS (SELECT label, count(*) AS before FROM e GROUP BY label), f AS (SELECT label, count(*) AS after FROM kept GROUP BY label)
-  SELECT CAST(sum(before) AS BIGINT) AS before, CAST(sum(after) AS BIGINT) AS after, CAST(sum(before) - sum(after) AS BIGINT) AS discarded,
-  round(CAST(sum(after) AS DOUBLE) / sum(before) * 100, 6) AS retention, count(*) FILTER (after = 1) AS one, count(*) FILTER (after = 2) AS two,
-  count(*) FILTER (after >= 3) AS more FROM b LEFT JOIN f USING (label)""")
+_STATS = """, b AS (SELECT CASE vec_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS file, """ + _PROBLEM + """ AS problem, count(*) AS n FROM e GROUP BY ALL),
+  f AS (SELECT k.file AS file, k.problem AS problem, count(*) AS m FROM kept GROUP BY ALL), s AS (SELECT b.*, coalesce(m, 0) AS m FROM b LEFT JOIN f USING (file, problem))
+  SELECT {file}count(*) AS problems, CAST(sum(n) AS BIGINT) AS before, CAST(sum(m) AS BIGINT) AS after, CAST(sum(n) - sum(m) AS BIGINT) AS discarded,
+  round(CAST(sum(m) AS DOUBLE) / sum(n) * 100, 6) AS retention, count(*) FILTER (n = 1) AS one, count(*) FILTER (n = 2) AS two, count(*) FILTER (n >= 3) AS more,
+  CAST(sum(n - 1) AS BIGINT) AS pairs_total, CAST(sum(n) - sum(m) AS BIGINT) AS pairs_above FROM s{group}"""
+
+
+@query(_GREEDY + _STATS.format(file="", group=""))
 def dedup_stats(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return metrics_dedup(e)
+    rows = _sampled(spark, sf_dir)
+    return dedup.dedup_stats(rows, _kept(rows), "file", "problem")
 
 
-def metrics_dedup(e: DataFrame) -> DataFrame:
-    return dedup.dedup_stats(e, dedup.greedy_dedup(e, "label", "vec_id", "embedding", 0.3), "label")
+@query(_GREEDY + _STATS.format(file="file, ", group=" GROUP BY ROLLUP (file)"))
+def dedup_stats_by_file(spark, sf_dir):
+    rows = _sampled(spark, sf_dir)
+    return dedup.dedup_stats(rows, _kept(rows), "file", "problem", by="file")
 
 
 _POSITIONS = _VEC + """, x AS (SELECT row_number() OVER (ORDER BY vec_id) AS pos, vec_id, v FROM e WHERE label < 5),
-  y AS (SELECT row_number() OVER (ORDER BY vec_id) AS pos, vec_id, v FROM e WHERE label >= 5 AND label < 9)"""
+  y AS (SELECT row_number() OVER (ORDER BY vec_id) AS pos, vec_id, v FROM e WHERE label >= 5)"""
 
 
 @query(_POSITIONS + """SELECT CAST(pos AS INT) AS pos, 0 AS side, vec_id FROM x UNION ALL
   SELECT CAST(y.pos AS INT), 1, y.vec_id FROM y LEFT JOIN x USING (pos) WHERE x.v IS NULL OR list_dot_product(x.v, y.v) <= 0.05""")
 def pairwise_dedup(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return dedup.pairwise_dedup(e.where("label < 5"), e.where("label >= 5 and label < 9"), "vec_id", "embedding", 0.05)
+    return dedup.pairwise_dedup(e.where("label < 5"), e.where("label >= 5"), "vec_id", "embedding", 0.05)
 
 
 def _pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    pairs = dedup.positional_pairs(e.where("label < 5"), e.where("label >= 5 and label < 9"), "vec_id").where("a is not null and b is not null")
+    pairs = dedup.positional_pairs(e.where("label < 5"), e.where("label >= 5"), "vec_id").where("a is not null and b is not null")
     return pairs.select(dedup.dot(F.col("a.embedding"), F.col("b.embedding")).alias("sim"))
 
 
@@ -272,12 +304,30 @@ def similarity_stats(spark, sf_dir):
     return metrics.similarity_stats(_pairs(spark, sf_dir))
 
 
-@query(_SIMS + """, b AS (SELECT unnest([0.0, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.95, 0.98])::DOUBLE AS lo, unnest([0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.92, 0.95, 0.98, 1.0])::DOUBLE AS hi)
+@query(_SIMS + """, b AS (SELECT unnest([0.0, 0.5, 0.7, 0.8, 0.85, 0.9, 0.92, 0.95, 0.97, 0.98, 0.99])::DOUBLE AS lo, unnest([0.5, 0.7, 0.8, 0.85, 0.9, 0.92, 0.95, 0.97, 0.98, 0.99, 1.0])::DOUBLE AS hi)
   SELECT lo, hi, count(sim) AS n FROM b LEFT JOIN p ON sim >= lo AND sim < hi GROUP BY lo, hi""")
 def similarity_histogram(spark, sf_dir):
     return metrics.similarity_histogram(_pairs(spark, sf_dir))
 
 
+@query("SELECT role AS file, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, round(avg(length(text)), 6) AS mean_chars FROM conversations GROUP BY role")
+def answer_lengths(spark, sf_dir):
+    return metrics.length_stats(table(spark, sf_dir, "conversations"), "role", "text").withColumnRenamed("role", "file")
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """An encoder for tests: how often a text has each vowel, and one."""
+    return np.array([[*(t.count(c) for c in "aeiou"), 1.0] for t in texts]).reshape(-1, 6)
+
+
+@query("""WITH c AS (SELECT conv_id, "turn", list_concat(list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE)), [1.0::DOUBLE]) AS v FROM conversations)
+  SELECT conv_id, "turn", round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(list_sum(v) / sqrt(list_dot_product(v, v)), 6) AS total FROM c""")
+def embed_texts(spark, sf_dir):
+    made = dedup.embed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), letter_counts, "text")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v)
+    return made.select("conv_id", "turn", F.round(F.col("embedding")[0], 6).alias("first"), F.round(total, 6).alias("total"))
+
+
 # Groups of three vectors, as a problem has three samples.
 @query(_VEC + """, p AS (SELECT i.vec_id // 3 AS g, list_dot_product(i.v, j.v) AS sim FROM e i JOIN e j ON i.vec_id // 3 = j.vec_id // 3 AND i.vec_id < j.vec_id),
   q AS (SELECT g, count(*) AS n, sum(sim) AS s, count(*) FILTER (sim >= 0.1) AS o FROM p GROUP BY g)
@@ -309,6 +359,11 @@ def train_test_split(spark, sf_dir):
     return assemble.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@query("""SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) <= floor(count(*) OVER () * 0.95) THEN 'train' ELSE 'test' END AS part FROM orders""")
+def train_eval_split(spark, sf_dir):
+    return assemble.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.95, 7)
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
 def prefix_limit(spark, sf_dir):
     return assemble.prefix(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100)
@@ -328,12 +383,8 @@ def sft_rows(spark, sf_dir):
   u AS (SELECT user_id, coalesce(max(m) >= -0.2, false) AS ok, count(*) AS n FROM s GROUP BY user_id)
   SELECT ok, count(*) AS users, CAST(sum(n) AS BIGINT) AS samples FROM u GROUP BY ok""")
 def logprob_confidence(spark, sf_dir):
-    s = (
-        table(spark, sf_dir, "events").groupBy("user_id", F.expr("event_id div 3").alias("s"))
-        .agg(F.collect_list(-F.col("value") / 100).alias("lp"))
-        .select("user_id", adaptive.mean_logprob(F.col("lp")).alias("m"))
-    )
-    users = s.groupBy("user_id").agg(adaptive.confident(F.collect_list("m"), -0.2).alias("ok"), F.count("*").alias("n"))
+    s = table(spark, sf_dir, "events").groupBy("user_id", F.expr("event_id div 3").alias("s")).agg(F.avg(-F.col("value") / 100).alias("m"))
+    users = s.groupBy("user_id").agg(F.coalesce(F.max("m") >= -0.2, F.lit(False)).alias("ok"), F.count("*").alias("n"))
     return users.groupBy("ok").agg(F.count("*").alias("users"), F.sum("n").alias("samples"))
 
 
@@ -344,7 +395,7 @@ def fake_provider(todo: DataFrame, temperature: float, n: int, turn: int) -> Dat
         for batch in batches:
             made = batch.loc[batch.index.repeat(n), ["problem"]].reset_index(drop=True)
             made["sample_idx"] = [i % n for i in range(len(made))]
-            made["answer"] = [f"{p} at {turn}" for p in made["problem"]]
+            made["answer"] = [f"<think>first</think> {p} at {turn} " for p in made["problem"]]
             sure = made["problem"].str.split(" ").str[-1].astype("int64") % 7 == turn
             made["token_logprobs"] = [[-1.0, -2.0] if s else [-3.0, None] for s in sure]
             yield made[["problem", "answer", "sample_idx", "token_logprobs"]]
@@ -357,12 +408,65 @@ def fake_provider(todo: DataFrame, temperature: float, n: int, turn: int) -> Dat
   SELECT CAST(round AS INT) AS round, CASE round WHEN 1 THEN 0.3::DOUBLE ELSE 0.9::DOUBLE END AS temperature,
   CAST(sum(CASE round WHEN 1 THEN 3 ELSE 2 END) AS BIGINT) AS samples, count(DISTINCT problem) AS problems FROM r GROUP BY round""")
 def adaptive_rounds(spark, sf_dir):
+    made = _adaptive(spark, sf_dir)
+    return made.groupBy("round", "temperature").agg(F.count("*").alias("samples"), F.countDistinct("problem").alias("problems"))
+
+
+def _adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .checkpoints import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
     problems = table(spark, sf_dir, "orders").select(problem("o_orderkey").alias("problem"))
-    made = adaptive.adaptive_sample(problems, fake_provider)
-    return made.groupBy("round", "temperature").agg(F.count("*").alias("samples"), F.countDistinct("problem").alias("problems"))
+    return adaptive.adaptive_sample(problems, fake_provider)
+
+
+@query("""WITH p AS (SELECT 'order ' || o_orderkey AS problem, o_orderkey % 7 AS k FROM orders),
+  r AS (SELECT problem, unnest(range(1, CASE WHEN k BETWEEN 1 AND 5 THEN k ELSE 5 END + 1)) AS round FROM p)
+  SELECT problem || ' at ' || round AS answer, count(*) * CASE WHEN round = 1 THEN 3 ELSE 2 END AS n FROM r GROUP BY problem, round""")
+def adaptive_answers(spark, sf_dir):
+    return _adaptive(spark, sf_dir).groupBy("answer").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT o_orderkey % 7 AS k FROM orders), r AS (SELECT k, unnest(range(1, CASE WHEN k BETWEEN 1 AND 5 THEN k ELSE 5 END + 1)) AS round FROM p),
+  c AS (SELECT CAST(round AS INT) AS round, count(*) AS problems, count(*) FILTER (k = round) AS high FROM r GROUP BY round)
+  SELECT *, problems - high AS low, round(high * 100.0::DOUBLE / problems, 6) AS high_pct, round((problems - high) * 100.0::DOUBLE / problems, 6) AS low_pct FROM c""")
+def confidence_rounds(spark, sf_dir):
+    return adaptive.confidence_by_round(_adaptive(spark, sf_dir))
+
+
+# Evaluation --------------------------------------------------------------------------------------
+
+def fake_model(problems: DataFrame, settings: evaluate.Settings) -> DataFrame:
+    """Right where the truth is no multiple of 3, wrong or without an answer otherwise."""
+    k = F.col("answer").cast("long")
+    text = (
+        F.when(k % 3 > 0, F.concat(F.lit("<think>hm</think> \\boxed{"), F.col("answer"), F.lit("}")))
+        .when(k % 2 > 0, "\\boxed{-1}").otherwise("I do not know")
+    )
+    return problems.withColumn("generated", text)
+
+
+@query("""WITH o AS (SELECT CASE o_orderkey % 2 WHEN 0 THEN 'gsm8k' ELSE 'math' END AS dataset, o_custkey AS k FROM orders),
+  c AS (SELECT dataset, count(*) AS total, count(*) FILTER (k % 3 = 0 AND k % 2 = 0) AS "empty", count(*) FILTER (k % 3 > 0) AS correct FROM o GROUP BY dataset)
+  SELECT *, round(correct * 100.0::DOUBLE / total, 6) AS accuracy, total - "empty" AS "valid", round(correct * 100.0::DOUBLE / (total - "empty"), 6) AS valid_accuracy FROM c""")
+def baseline_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey % 2").alias("k"), problem("o_orderkey").alias("problem"), F.col("o_custkey").cast("string").alias("answer"),
+        F.lit("t").alias("type"), F.lit("l").alias("level"),
+    )
+    sets = {"gsm8k": (o.where("k = 0"), False), "math": (o.where("k = 1"), True)}
+    made = [evaluate.predict(rows, fake_model, evaluate.BASELINE, math=math).withColumn("dataset", F.lit(name)) for name, (rows, math) in sets.items()]
+    return metrics.summary(assemble.merge(*made), "dataset").drop("non_numeric", "incorrect")
+
+
+@query(SQL + "SELECT problem, line, part, supp FROM a WHERE fa = ''")
+def empty_rows(spark, sf_dir):
+    return G.empty_rows(X.with_final_answer(samples(spark, sf_dir))).select(*KEY)
+
+
+@query("SELECT conv_id, \"turn\", text || '.' AS text FROM conversations")
+def trailing_period(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.with_period(F.col("text")).alias("text"))
 
 
 @query("""WITH d AS (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import hash_answer, last_boxed_content
+from ..functions.text import hash_answer, last_boxed_content, strip
+from ..operators.assemble import split
 
 PROBLEM = T.StructType().add("problem", "string").add("answer", "string").add("type", "string").add("level", "string")
 ADAPTIVE = T.StructType().add("problem", "string").add("answer", "string").add("temperature", "double").add("round", "integer").add("sample_idx", "integer")
@@ -21,21 +22,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines that are not blank, as they are."""
-    return spark.read.text(path).where(F.trim("value") != "")
+    return spark.read.text(path).where(strip(F.col("value")) != "")
 
 
 def write_jsonl(df: DataFrame, path: str, explicit_nulls: bool = False) -> None:
     df.write.option("ignoreNullFields", str(not explicit_nulls).lower()).json(path)
 
 
-def fan_out(graded: DataFrame, outputs: dict[str, tuple[str, F.Column]]) -> dict[str, int]:
+def fan_out(graded: DataFrame, outputs: dict[str, tuple[str, F.Column]], drop: tuple[str, ...] = ()) -> dict[str, int]:
     """Write the rows of each condition to its path; those without rows write nothing."""
     graded = graded.persist()
     try:
         counts = graded.agg(*[F.count_if(condition).alias(name) for name, (_, condition) in outputs.items()]).first().asDict()
         for name, (path, condition) in outputs.items():
             if counts[name]:
-                write_jsonl(graded.where(condition), path)
+                write_jsonl(graded.where(condition).drop(*drop), path)
         return counts
     finally:
         graded.unpersist()
@@ -52,6 +53,17 @@ def load_boxed(raw: DataFrame) -> DataFrame:
     return raw.select("problem", answer, "type", "level").where("answer is not null")
 
 
+def split_boxed(raw: DataFrame, train: str, test: str, *, train_share: float = 0.9, seed: int = 42) -> dict[str, int]:
+    """Load, shuffle by the seed, and write the first ``train_share`` to ``train``, the rest to ``test``;
+    the numbers of rows written and skipped."""
+    # Rows equal in problem and answer are the same row to whoever reads them.
+    rows = load_boxed(raw).withColumn("_key", F.to_json(F.struct("problem", "answer", "type", "level"))).withColumn("_id", F.monotonically_increasing_id())
+    cut = split(rows.persist(), "_key", train_share, seed, tie="_id").drop("_key", "_id")
+    done = fan_out(cut, {"train": (train, F.col("part") == "train"), "test": (test, F.col("part") == "test")}, drop=("part",))
+    rows.unpersist()
+    return {**done, "missing": raw.count() - sum(done.values())}
+
+
 def missing(raw: DataFrame, loaded: DataFrame) -> int:
     return raw.count() - loaded.count()
 
