@@ -2,38 +2,83 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary one set.
+    Only where the session names none and all of it runs in one process (tests) is a temporary one set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths made within each open ``scratch`` block.
+_made: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
+    for paths in _made[-1:]:
+        paths.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what operators wrote to scratch paths within the block;
+    results have to be written elsewhere before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            _delete(spark, path)
+
+
+def ordinal(docs: DataFrame) -> Column:
+    """A number for each row of ``docs``, part of the input << 33 and place in it.
+
+    Spark cuts small inputs by the cores it has; that number is held for the
+    session, so that a scan after the loss of an executor counts alike.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", docs.sparkSession.sparkContext.defaultParallelism)
+    return F.monotonically_increasing_id()
 
 
-def written(df: DataFrame, name: str, path: str | None = None, *, level: int = 3) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None, *, level: int = 3, hashes: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder (zstd at ``level``) and read it back.
 
     This cuts lineage at a commit point that survives the loss of any executor;
-    every task attempt either commits its whole file or none.
+    every task attempt either commits its whole file or none.  Columns that are
+    mostly ``hashes`` are written as they are, as nothing makes them smaller.
     """
     path = path or scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
+    if hashes:
+        writer = df.write.option("compression", "snappy").option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,18 +86,47 @@ def written(df: DataFrame, name: str, path: str | None = None, *, level: int = 3
 BROADCAST_ROWS = 500_000
 
 
-def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return table.limit(rows + 1).count() <= rows
+
+
+def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``df`` written, with the hint to broadcast it if it has few rows; beyond
-    that the join is left to Spark."""
+    that the join is left to Spark.  Rows of no fixed size count ``weight`` each."""
     table = written(df, name)
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+    small = few(table, rows) if weight is None else (table.agg(F.sum(weight)).first()[0] or 0) <= rows
+    return F.broadcast(table) if small else table
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what the operators wrote below the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracemill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows of the input that one bitmap tells about, and bitmaps (4 kB each) that may be broadcast.
+BITMAP_BITS = 1 << 15
+BITMAPS = 1 << 14
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ordinals ``gone`` (row) lists.
+
+    What goes is a bitmap for each run of 32,768 ordinals.  Up to ``BITMAPS`` of
+    them are broadcast, so that no text is shuffled; beyond that rows meet their
+    numbers by a join.
+    """
+    row = unique_name(docs, "row")
+    numbered = docs.withColumn(row, ordinal(docs))
+    gone = written(gone.select("row"), "gone")
+    at = F.shiftright("row", 15)
+    bits = gone.groupBy(at.alias("run")).agg(F.bitmap_construct_agg(F.col("row").bitwiseAND(BITMAP_BITS - 1)).alias("bits"))
+    bits = written(bits, "bitmaps")
+    if not few(bits, BITMAPS):
+        return numbered.join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
+    run, held, place = unique_name(docs, "run"), unique_name(docs, "bits"), F.col(row).bitwiseAND(BITMAP_BITS - 1)
+    byte = F.conv(F.hex(F.substring(held, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    bit = F.floor(byte / F.pow(F.lit(2), place.bitwiseAND(7))) % 2
+    return (
+        numbered.withColumn(run, F.shiftright(row, 15))
+        .join(F.broadcast(bits.select(F.col("run").alias(run), F.col("bits").alias(held))), run, "left")
+        .where(F.col(held).isNull() | (bit == 0))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
 
 
 def unique_name(df: DataFrame, name: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ordinal, written
 from .tokens import word_ids
 
 CAPACITY = 2048
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None =
     """Pieces of the ids of each text: doc_id, row, piece, start, length, ids_crc32."""
     read = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        ordinal(docs).alias("row"),
         F.col("text").alias("text"),
     )
     return read.mapInArrow(_tokenize(capacity, tokenizer), PIECES)
