@@ -1,19 +1,21 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters records uniformly, by a seeded hash of their ordinal in the
-input, into buckets that fit a worker's memory.  Pass two puts each bucket into
-a canonical order, shuffles it by Fisher-Yates with a generator seeded by
-(seed, bucket) and writes it.  Bucket after bucket, the written rows are one
-random permutation of the input; contiguous runs of it are the shards, so that
-their row counts differ by one at most (law ``rows``).
+Pass one scatters records uniformly, by a seeded hash of their id and text, into
+buckets that fit a worker's memory.  Pass two puts each bucket into a canonical
+order, shuffles it by Fisher-Yates with a generator seeded by (seed, bucket) and
+writes it.  Bucket after bucket, the written rows are one random permutation of
+the input; contiguous runs of it are the shards, so that their row counts differ
+by one at most (law ``rows``).  The number of buckets depends on the bytes of the
+input alone: the same rows come out alike from any files and on any cluster.
 
 Defined results
-    null and empty texts are records like any other; repeated rows are kept and
-    spread, as the hash takes the ordinal and never the content; an empty input
-    gives no rows; input columns travel inside the struct ``record``, so that no
-    name can clash with those added here.  Null ids do no harm.
-The ordinal is ``monotonically_increasing_id``: give a table or a checkpoint,
-whose rows come in the same order when a lost task runs again.
+    null and empty texts are records like any other, null ids too; repeated rows
+    are kept.  Rows equal in id and text of which there are more than
+    ``REPEATS`` are scattered by their place in the input instead, so that no
+    bucket takes them all; which of them goes where then depends on the input's
+    layout.  An empty input gives no rows; input columns travel inside the struct
+    ``record``, so that no name can clash with those added here.  Give a table or
+    a checkpoint, whose rows come in the same order when a lost task runs again.
 """
 
 from __future__ import annotations
@@ -27,13 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized, text_size, written
+from .common import ordinal, sized, text_size, written
+
+#: Rows equal in id and text that may go to one bucket.
+REPEATS = 1_000
 
 
 def _fisher_yates(seed: int):
     def shuffle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        order = pc.sort_indices(table, sort_keys=[("ord", "ascending")]).to_numpy().copy()
+        order = pc.sort_indices(table, sort_keys=[("key", "ascending"), ("ord", "ascending")]).to_numpy().copy()
         np.random.Generator(np.random.PCG64([seed, bucket])).shuffle(order)
         out = table.take(pa.array(order)).combine_chunks()
         n = out.num_rows
@@ -54,6 +59,7 @@ def external_shuffle(
     seed: int = 20_26,
     bucket_bytes: int = 16 << 20,
     text_col: str = "text",
+    id_col: str = "doc_id",
     path: str | None = None,
 ) -> tuple[DataFrame, int]:
     """Write ``docs`` in random order; return the table and its number of rows.
@@ -62,16 +68,15 @@ def external_shuffle(
     ``bucket_bytes`` bounds the text of a bucket in expectation; buckets grow in
     number with the input, never in size.
     """
-    spark = docs.sparkSession
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
-        F.monotonically_increasing_id().alias("ord"),
-    )
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), ordinal(docs).alias("ord")
+    ).withColumn("key", F.xxhash64(F.lit(seed), F.col("record")[id_col], F.col("record")[text_col]))
     n, total = base.agg(F.count("*"), F.sum(text_size(F.col("record")[text_col]) + 64)).first()
-    buckets = max(math.ceil((total or 0) / bucket_bytes), spark.sparkContext.defaultParallelism)
-    scattered = base.select(
-        F.pmod(F.xxhash64(F.lit(seed), "ord"), F.lit(buckets)).alias("bucket"), "ord", "record"
-    )
+    buckets = max(math.ceil((total or 0) / bucket_bytes), 1)
+    # At most one in REPEATS rows; a broadcast only if these are few.
+    repeated = base.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > REPEATS).select("key", F.lit(True).alias("repeated"))
+    place = F.when(F.col("repeated"), F.xxhash64(F.lit(seed), "ord")).otherwise(F.xxhash64(F.lit(seed), "key"))
+    scattered = base.join(sized(repeated, "repeated"), "key", "left").select(F.pmod(place, F.lit(buckets)).alias("bucket"), "key", "ord", "record")
     schema = T.StructType(
         [
             T.StructField("bucket", T.LongType()),
