@@ -4,8 +4,9 @@ Codebooks of full dimension are fitted level by level to the residuals of a
 bounded sample.  Every vector is encoded by a beam search over the levels and
 kept as one byte a level with the norm of its reconstruction.  A query makes a
 table of its products with all codewords; a vector's score is the sum of its
-entries over the stored norm.  The best ``rerank`` of each block are merged and
-compared again by the exact cosine on the original vectors.
+entries over the stored norm.  The best ``rerank`` of each task are compared
+again by the exact cosine on the original vectors, which lie beside the codes, and
+only the ``k`` best of these leave the task.
 
 With each code its error is kept: the angle between the vector and its
 reconstruction.  The angle of a query to a vector is at least that to the
@@ -14,7 +15,8 @@ the query's ``k``-th exact cosine and compares all else, uncapped: the ``k``
 found are the nearest, however many vectors lie closer than the codes can tell.
 
 Queries are a stated set, compared with all codes: in blocks of bounded size,
-each sent to the tasks that scan the codes.
+each sent to the tasks that scan the codes.  There are a few such tasks for each
+core, whatever the input, so that what is shuffled grows with the queries only.
 
 Defined results
     vectors that are null, of norm zero, or hold null or non-finite components
@@ -41,7 +43,9 @@ LEVELS, WORDS, BEAM = 16, 256, 4
 #: Rows that the codebooks are fitted to, at most.
 SAMPLE_ROWS = 16_384
 #: Candidates a query and task that go to the exact comparison.
-RERANK = 300
+RERANK = 32
+#: Tasks of a scan for each core.
+TASKS_A_CORE = 4
 #: Queries in one block; their vectors are what is broadcast.
 QUERY_BLOCK = 2_048
 SCAN_ROWS = 2_048
@@ -159,12 +163,11 @@ def _errors(books: Codebooks, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, **sizes):
-    """(codebooks, codes, vectors): the written codes are vec_id, codes, norm, error and vec."""
-    used = usable(vectors, id_col, vec_col)
-    used = used.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    """(codebooks, codes): the written codes are vec_id, codes, norm, error and vec."""
+    used = written(usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
     sample = fit_sample(used, sample_rows)
     if not len(sample):
-        return None, None, used
+        return None, None
     books = Codebooks.fit(sample, **sizes)
     dim = sample.shape[1]
 
@@ -181,7 +184,7 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "e
 
     used = used.where(F.size("vec") == dim)
     codes = used.mapInArrow(run, "vec_id long, codes binary, norm float, error double, vec array<double>")
-    return books, written(codes, "codes"), used
+    return books, written(codes, "codes")
 
 
 def _best(scores: np.ndarray, keep: int) -> np.ndarray:
@@ -195,16 +198,30 @@ def _best(scores: np.ndarray, keep: int) -> np.ndarray:
     return np.broadcast_to(np.arange(n), scores.shape)
 
 
-def _scan(query_ids: np.ndarray, sent, rerank: int):
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of columns ``i`` of ``x`` and ``j`` of ``y``, summed in the order of the components, as ``cosine`` does."""
+    out = np.zeros(len(i))
+    for p, q in zip(x, y, strict=True):
+        out += p[i] * q[j]
+    return out
+
+
+def _scan(query_ids: np.ndarray, sent, rerank: int, k: int):
+    """Of the ``rerank`` best guesses in a task the ``k`` nearest by exact cosine."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, queries = sent.value
-        table, n = books.tables(queries), len(query_ids)
-        held_ids, held = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.float32)
+        table, n = books.tables(_unit(queries)), len(query_ids)
+        queries, each = np.ascontiguousarray(queries.T), np.arange(n)
+        length = np.sqrt(_dots(queries, each, queries, each))
+        held_ids, held, near = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.float32), np.zeros((n, 0))
         for batch in batches:
             order = np.argsort(batch.column(0).to_numpy())
             ids = batch.column(0).to_numpy()[order]
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             norms = np.maximum(batch.column(2).to_numpy()[order], 1e-12)
+            vecs, every = np.ascontiguousarray(_matrix(batch.column(4))[order].T), np.arange(len(ids))
+            lengths = np.sqrt(_dots(vecs, every, vecs, every))
             for at in range(0, len(ids), SCAN_ROWS):
                 part = slice(at, at + SCAN_ROWS)
                 score = np.zeros((len(ids[part]), n), np.float32)
@@ -213,30 +230,28 @@ def _scan(query_ids: np.ndarray, sent, rerank: int):
                 score = (score / norms[part, None]).T
                 score = np.where(query_ids[:, None] == ids[part], np.float32(-9), score)
                 best = _best(score, rerank)
-                both_ids = np.concatenate([held_ids, ids[part][best]], axis=1)
-                both = np.concatenate([held, np.take_along_axis(score, best, 1)], axis=1)
+                guess, exact = np.take_along_axis(score, best, 1), np.full(best.shape, -9.0)
+                # Guesses below all that are held stay out and need no exact cosine.
+                enter = (guess > -5) & (guess >= held.min(axis=1, initial=9)[:, None] if held.shape[1] >= rerank else True)
+                i, j = np.nonzero(enter)
+                place = best[i, j] + at
+                exact[i, j] = _dots(queries, i, vecs, place) / (length[i] * lengths[place])
+                both_ids, both = np.concatenate([held_ids, ids[part][best]], axis=1), np.concatenate([held, guess], axis=1)
+                both_near = np.concatenate([near, exact], axis=1)
                 by_id = np.argsort(both_ids, axis=1, kind="stable")
-                both_ids, both = np.take_along_axis(both_ids, by_id, 1), np.take_along_axis(both, by_id, 1)
+                both_ids, both, both_near = (np.take_along_axis(x, by_id, 1) for x in (both_ids, both, both_near))
                 best = _best(both, rerank)
-                held_ids, held = np.take_along_axis(both_ids, best, 1), np.take_along_axis(both, best, 1)
-        if held.shape[1]:
-            real = held > -5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, real.sum(1))), pa.array(held_ids[real]), pa.array(held[real])],
-                names=["query_id", "vec_id", "guess"],
-            )
+                held_ids, held, near = (np.take_along_axis(x, best, 1) for x in (both_ids, both, both_near))
+        i, j = np.nonzero(held > -5)
+        order = np.lexsort((held_ids[i, j], -near[i, j], i))
+        i, j = i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, each)[i] < k
+        i, j = i[first], j[first]
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[i]), pa.array(held_ids[i, j]), pa.array(near[i, j])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Products of columns ``i`` of ``x`` and ``j`` of ``y``, summed in the order of the components, as ``cosine`` does."""
-    out = np.zeros(len(i))
-    for p, q in zip(x, y, strict=True):
-        out += p[i] * q[j]
-    return out
-
-
 def _within(query_ids: np.ndarray, sent, k: int):
     """The ``k`` nearest in a task of all vectors that may be as near as each query's limit."""
 
@@ -280,60 +295,47 @@ def _within(query_ids: np.ndarray, sent, k: int):
     return run
 
 
-def cosine(a, b) -> F.Column:
-    """Cosine in double precision, summed in the order of the components."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def search(
     vectors: DataFrame, is_query, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding",
-    rerank: int = RERANK, query_block: int = QUERY_BLOCK, **index,
+    rerank: int = RERANK, query_block: int = QUERY_BLOCK, complete: bool = True, **index,
 ) -> DataFrame:
     """The ``k`` nearest of every vector for which ``is_query`` (a condition
-    on vec_id) holds: query_id, rank, vec_id, score."""
+    on vec_id) holds: query_id, rank, vec_id, score.  Without ``complete`` those
+    found by the codes alone, without the second scan."""
     spark = vectors.sparkSession
-    books, codes, used = build_index(vectors, id_col=id_col, vec_col=vec_col, **index)
+    schema = "query_id long, vec_id long, score double"
+    books, codes = build_index(vectors, id_col=id_col, vec_col=vec_col, **index)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = written(used.where(is_query), "queries")
+    queries = written(codes.where(is_query).select("vec_id", "vec"), "queries")
     blocks = max(1, -(-queries.count() // query_block))
     block_of = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks))
+    codes = codes.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
 
-    def scanned(queries: DataFrame, scan, schema: str) -> DataFrame | None:
-        found = None
+    def scanned(queries: DataFrame, scan) -> DataFrame:
+        found = spark.createDataFrame([], schema)
         for block in range(blocks):
             rows = queries.where(block_of == block).toArrow()
             if rows.num_rows:
-                part = codes.mapInArrow(scan(rows), schema)
-                found = part if found is None else found.union(part)
+                found = found.union(codes.mapInArrow(scan(rows), schema))
         return found
 
     def guess(rows: pa.Table):
         # The codebooks and one block of queries: of a fixed size, whatever the input.
-        sent = spark.sparkContext.broadcast((books, _unit(_matrix(rows.column("vec")))))
-        return _scan(rows.column("vec_id").to_numpy().copy(), sent, rerank)
+        sent = spark.sparkContext.broadcast((books, _matrix(rows.column("vec"))))
+        return _scan(rows.column("vec_id").to_numpy().copy(), sent, rerank, k)
 
     def within(rows: pa.Table):
         sent = spark.sparkContext.broadcast((books, _matrix(rows.column("vec")), rows.column("limit").to_numpy().copy()))
         return _within(rows.column("vec_id").to_numpy().copy(), sent, k)
 
-    found = scanned(queries, guess, "query_id long, vec_id long, guess float")
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    guessed = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
-    few = found.withColumn("at", F.row_number().over(guessed)).where(F.col("at") <= rerank).select("query_id", "vec_id")
-    pairs = (
-        few.join(used.withColumnRenamed("vec", "found_vec"), "vec_id")
-        .join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query_vec")), "query_id")
-        .select("query_id", "vec_id", cosine("query_vec", "found_vec").alias("score"))
-    )
-    exact = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = lambda pairs: pairs.withColumn("rank", F.row_number().over(exact)).where(F.col("rank") <= k)
-    first = written(best(pairs), "first")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = lambda pairs: pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    first = written(best(scanned(queries, guess)), "first")
+    if not complete:
+        return first
     limits = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("limit"))
     # Fewer than k found set no limit.
     limited = written(queries.join(limits, "vec_id", "left").select("vec_id", "vec", F.coalesce("limit", F.lit(-2.0)).alias("limit")), "limited")
-    more = scanned(limited, within, "query_id long, vec_id long, score double")
-    both = first.select("query_id", "vec_id", "score").union(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return best(both).select("query_id", "rank", "vec_id", "score")
+    both = first.drop("rank").union(scanned(limited, within)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return best(both)
