@@ -16,6 +16,11 @@ def is_numeric(x: Column) -> Column:
     return F.rlike(x, F.lit(NUMERIC))
 
 
+def number_kind(x: Column) -> Column:
+    """Whether an answer is a number, a fraction, empty or something other."""
+    return F.when(x == "", "empty").when(is_numeric(x), F.when(F.contains(x, F.lit("/")), "fraction").otherwise("number")).otherwise("other")
+
+
 def number_value(x: Column) -> Column:
     """Value of a number or fraction with commas; null where there is none."""
     bare = F.replace(strip(x), F.lit(","), F.lit(""))

@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import compare as C
 from ..functions import text as X
 from ..operators import adaptive, assemble, dedup, evaluate, metrics
 from ..operators import grade as G
 from ..sources import jsonl
 from .fixtures import SQL, problem, samples, table, truth
+from .forms import SQL as FORMS_SQL
+from .forms import answers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,6 +102,37 @@ def final_answer_math(spark, sf_dir):
     return X.with_final_answer(samples(spark, sf_dir), name="v", math=True).select(*KEY, "v")
 
 
+# The same steps over many forms of answers, where SQL works out each of them.
+
+def _form(name: str, columns: dict[str, Callable], sql: dict[str, str]) -> None:
+    @query(FORMS_SQL + "SELECT form, problem, line, part, supp, " + ", ".join(f'{v} AS "{k}"' for k, v in sql.items()) + " FROM u", name)
+    def run(spark, sf_dir):
+        rows = answers(spark, sf_dir)
+        return rows.select("form", *KEY, *[f(F.col("answer")).alias(k) for k, f in columns.items()])
+
+
+_form("forms_extracted", {"boxed": X.extract_boxed, "fallback": X.answer_fallback, "last": X.last_number, "math": X.math_fallback}, {k: k for k in ("boxed", "fallback", "last", "math")})
+_form("forms_think", {"left": X.strip_think}, {"left": "trim(CASE WHEN contains(t, '</think>') THEN substr(t, instr(t, '</think>') + 8) ELSE t END)"})
+_form("forms_source", {"numeric": X.answer_source, "mathematical": lambda a: X.answer_source(a, True)}, {
+    "numeric": "CASE WHEN boxed <> '' THEN 'boxed' WHEN fallback <> '' THEN 'answer' WHEN last <> '' THEN 'last_number' ELSE 'empty' END",
+    "mathematical": "CASE WHEN boxed <> '' THEN 'boxed' WHEN math <> '' THEN 'answer' ELSE 'empty' END",
+})
+
+
+@query(FORMS_SQL + "SELECT form, problem, line, part, supp, fa, fam FROM u")
+def forms_final(spark, sf_dir):
+    both = X.with_final_answer(X.with_final_answer(answers(spark, sf_dir), name="fa"), name="fam", math=True)
+    return both.select("form", *KEY, "fa", "fam")
+
+
+@query(FORMS_SQL + r""", n AS (SELECT *, CASE WHEN regexp_matches(fa, '^-?\d+(\.\d+)?$') THEN 'number' WHEN regexp_matches(fa, '^-?\d+(\.\d+)?/\d+(\.\d+)?$') THEN 'fraction' WHEN fa = '' THEN 'empty' ELSE 'other' END AS kind FROM u)
+  SELECT form, kind, count(*) AS n, round(sum(CASE kind WHEN 'number' THEN CAST(fa AS DOUBLE) WHEN 'fraction' THEN CAST(split_part(fa, '/', 1) AS DOUBLE) / nullif(CAST(split_part(fa, '/', 2) AS DOUBLE), 0) END), 4) AS total FROM n GROUP BY form, kind""")
+def forms_values(spark, sf_dir):
+    rows = X.with_final_answer(answers(spark, sf_dir), name="fa").withColumn("kind", C.number_kind(F.col("fa")))
+    value = F.when(F.col("kind").isin("number", "fraction"), C.number_value(F.col("fa")))
+    return rows.groupBy("form", "kind").agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+
+
 @query(SQL + "SELECT CASE line WHEN 2 THEN 'answer' WHEN 3 THEN 'last_number' WHEN 6 THEN 'empty' ELSE 'boxed' END AS source, count(*) AS n FROM a GROUP BY 1")
 def extraction_provenance(spark, sf_dir):
     return samples(spark, sf_dir).groupBy(X.answer_source(F.col("answer")).alias("source")).agg(F.count("*").alias("n"))
@@ -478,26 +512,36 @@ def token_limit(spark, sf_dir):
 
 # Quality -----------------------------------------------------------------------------------------
 
+#: What is put behind the documents, which hold none of it themselves.
+_NOTES = ["", " wait", " Oops", " Actually,", " Hmm I made a mistake", " \\boxed{1}", " $$x", " $$x$$", " [a", " [a]", "\nsame\n same\nsame \nsame"]
+_NOTED = "(SELECT doc_id, lang, coalesce(text, '') || list_value(" + ", ".join("'" + n.replace("\n", "' || chr(10) || '") + "'" for n in _NOTES) + f")[CAST(doc_id % {len(_NOTES)} AS INT) + 1] AS text FROM documents)"
+
+
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("doc_id") % len(_NOTES)).cast("int") + 1)
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.coalesce("text", F.lit("")), note).alias("text"))
+
+
 _FLAGS = r"""f AS (SELECT doc_id, lang, text,
   contains(text, 'wait') OR contains(text, 'Oops') OR contains(text, 'Actually,') OR contains(text, 'Hmm') OR contains(text, 'I made a mistake') AS self_correction,
   coalesce(doc_id IN (SELECT doc_id FROM l WHERE line <> '' GROUP BY doc_id, line HAVING count(*) >= 4), false) AS repeated_lines,
   NOT contains(text, '\boxed{') AS no_boxed, length(text) < 200 OR length(text) > 3000 AS extreme_length,
-  (length(text) - length(replace(text, '$$', ''))) / 2 % 2 = 1 OR length(replace(text, '[', '')) <> length(replace(text, ']', '')) AS artifacts FROM documents)"""
-_LINES = "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM documents), "
+  (length(text) - length(replace(text, '$$', ''))) / 2 % 2 = 1 OR length(replace(text, '[', '')) <> length(replace(text, ']', '')) AS artifacts FROM noted)"""
+_LINES = f"WITH noted AS {_NOTED}, l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM noted), "
 
 
 @query(_LINES + _FLAGS + "SELECT doc_id, self_correction, repeated_lines, no_boxed, extreme_length, artifacts FROM f")
 def quality_flags(spark, sf_dir):
-    return metrics.quality_flags(table(spark, sf_dir, "documents")).select("doc_id", *metrics.FLAGS)
+    return metrics.quality_flags(noted(spark, sf_dir)).select("doc_id", *metrics.FLAGS)
 
 
 @query(_LINES + _FLAGS + "SELECT lang, count(*) AS total, " + ", ".join(
     f"count(*) FILTER ({f}) AS {f}, round(count(*) FILTER ({f}) * 1.0::DOUBLE / count(*) * 100, 6) AS {f}_pct" for f in metrics.FLAGS
 ) + ", round(avg(length(text)), 6) AS mean_chars FROM f GROUP BY lang")
 def quality_table(spark, sf_dir):
-    return metrics.quality_table(metrics.quality_flags(table(spark, sf_dir, "documents")), "lang")
+    return metrics.quality_table(metrics.quality_flags(noted(spark, sf_dir)), "lang")
 
 
 @query(_LINES + _FLAGS + "SELECT doc_id FROM f WHERE NOT self_correction AND NOT repeated_lines")
 def quality_filter(spark, sf_dir):
-    return metrics.quality_flags(table(spark, sf_dir, "documents")).where("not self_correction and not repeated_lines").select("doc_id")
+    return metrics.quality_flags(noted(spark, sf_dir)).where("not self_correction and not repeated_lines").select("doc_id")
