@@ -1,8 +1,7 @@
 """Fuzzy line deduplication.
 
-Lines are split at newlines.  Those of at least ``min_chars`` characters (after
-trimming, in lower case) take part, with 1 all but blank lines; the others
-always stay.  A line's features are its distinct shingles of ``SHINGLE_CHARS``
+Lines are split at newlines.  All but blank lines take part, trimmed and in lower
+case; a caller may set ``min_chars``, below which lines always stay.  A line's features are its distinct shingles of ``SHINGLE_CHARS``
 characters (one of the whole line, if it has fewer); their one-permutation
 MinHash, each empty bin filled from the first other that has a value in an order
 of its own, is banded for high recall, candidates are compared by exact Jaccard
@@ -28,20 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import few, ordinal, sized, written
 from .graph import components
 from .matching import candidate_links
 
 SHINGLE_CHARS = 8
-#: Characters of a line that takes part, where the caller does not say; ``op10_lines`` takes all but blank lines.
-MIN_CHARS = 16
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 _KEYS = [f"b{k}" for k in range(BANDS)]
-#: Equal bins of 64 that a pair needs to be compared in full; at 0.8 fewer come once in millions.
-LEAST_EQUAL = 32
+#: Cells of a line's sketch.
+CELLS = 256
 #: Characters whose shingles are made at a time (more in one line are one block).
 BLOCK_CHARS = 1 << 16
+#: Lines whose bins are made at a time: few enough for their arrays to stay in a core's cache.
+BLOCK_LINES = 256
+#: Bytes of the numbers of dropped lines that may be broadcast.
+DROPPED_BYTES = 32 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -115,7 +116,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 class Matcher:
     """How two lines are compared."""
 
-    similarity, least_equal = SIMILARITY, LEAST_EQUAL
+    similarity, cells = SIMILARITY, CELLS
 
     def features(self, text: str) -> tuple[np.ndarray, None]:
         return np.unique(shingle_hashes([canonical(text)])[0]), None
@@ -142,25 +143,22 @@ class Matcher:
         for part in np.split(hashes, np.searchsorted(owner, np.arange(1, len(lines)))):
             yield part, None
 
-    def samples(self, texts: list[str]) -> np.ndarray:
-        return bins(list(map(canonical, texts)))
-
 
 def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_row, line_no, row (the line's number in the input) and text of every line."""
-    rows = docs.select(F.monotonically_increasing_id().alias("doc_row"), F.col(text_col).alias("text"))
+    rows = docs.select(ordinal(docs).alias("doc_row"), F.col(text_col).alias("text"))
     return rows.select("doc_row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text")).withColumn(
         "row", F.monotonically_increasing_id()
     )
 
 
-def signatures(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def signatures(lines: DataFrame, min_chars: int = 1) -> DataFrame:
     """doc_row, line_no, row, digest and band keys (b0, b1, ...) of the lines that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, BLOCK_LINES):
+                part = batch.slice(at, BLOCK_LINES)
                 texts = [canonical(t) for t in part.column(3).to_pylist()]
                 some = [k for k, t in enumerate(texts) if len(t) >= max(1, min_chars)]
                 if not some:
@@ -178,15 +176,15 @@ def signatures(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, *, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """doc_row, line_no and row of every line that goes."""
     spark = docs.sparkSession
     lines = lines_of(docs, text_col)
     matcher = spark.sparkContext.broadcast(Matcher())
-    table = written(signatures(lines, min_chars), "line_signatures")
+    table = written(signatures(lines, min_chars), "line_signatures", hashes=True)
     # Equal lines have equal band keys, so that any row's will do; buffers of longs keep this a hash aggregate.
     same = table.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in _KEYS])
-    same = written(same.select("digest", "n", "row", F.array(*_KEYS).alias("bands")), "distinct_lines")
+    same = written(same.select("digest", "n", "row", F.array(*_KEYS).alias("bands")), "distinct_lines", hashes=True)
     links = candidate_links(same.select("row", "bands"), lines.select("row", "text"), matcher)
     parts = sized(components(links.select("a", "b")).withColumnRenamed("node", "row"), "parts")
     # Only lines with a copy or a link are looked at further; the first of a component stays.
@@ -196,26 +194,34 @@ def repeated_lines(docs: DataFrame, *, text_col: str = "text", min_chars: int =
     )
     hits = written(hits, "hits")
     tops = hits.groupBy("linked", "class").agg(F.min("row").alias("top"))
-    decided = sized(hits.join(tops, ["linked", "class"]).select("digest", "top"), "decided")
-    return table.select("doc_row", "line_no", "row", "digest").join(decided, "digest").where("row <> top").select("doc_row", "line_no", "row")
-
-
-def line_dedup(docs: DataFrame, *, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    decided = written(hits.join(tops, ["linked", "class"]).select("digest", "top"), "decided")
+    rows = table.select("doc_row", "line_no", "row", "digest")
+    if few(decided):
+        found = rows.join(F.broadcast(decided), "digest")
+    else:
+        # A very common line is matched in the parts of the input that hold it.
+        part = F.shiftright("row", 33).alias("part")
+        local = rows.select(part, "digest").distinct().join(decided, "digest")
+        found = rows.withColumn("part", part).join(local, ["part", "digest"])
+    return found.where("row <> top").select("doc_row", "line_no", "row")
+
+
+def line_dedup(docs: DataFrame, *, text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """doc_id, text (of the lines that stay), n_lines and dropped (numbers of
     the lines that went) of each row of ``docs``."""
     gone = (
         repeated_lines(docs, text_col=text_col, min_chars=min_chars)
         .groupBy("doc_row").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
     )
-    gone = sized(gone, "dropped_lines")
+    # Bytes: 4 for each number, and what a row has besides.
+    gone = sized(gone, "dropped_lines", DROPPED_BYTES, 4 * F.size("dropped") + 32)
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("doc_row"), F.col(text_col).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), ordinal(docs).alias("doc_row"), F.col(text_col).alias("text"), F.split(text_col, "\n", -1).alias("lines")
     )
-    lines = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dropped")
     return rows.join(gone, "doc_row", "left").select(
         "doc_id",
-        F.when(F.col("dropped").isNull(), F.col("text"))
-        .otherwise(F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("dropped", k)), "\n")).alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
+        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get("lines", k)), "\n")).alias("text"),
+        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
     )

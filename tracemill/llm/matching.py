@@ -3,13 +3,17 @@
 ``reps`` lists texts by number (row) with their band keys; ``numbered`` gives the
 texts.  A matcher, sent to the executors, says how two texts compare: its
 ``features`` (hashes in order, weights or None for 1 each), ``features_of`` (the
-same of many texts), ``samples`` (equal with the probability of the similarity),
-``similarity`` and ``least_equal``.
+same of many texts), ``similarity``, and the ``cells`` of a text's sketch.
+
+A sketch sums a text's weights by cell of their hashes.  What two texts have in
+common weighs no more than the lesser weight of every cell, so that pairs whose
+sketches stay below the similarity need no comparison, and none above is lost.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,15 @@ GROUP_ROWS = 256
 BLOCK_ROWS = 512
 #: Texts in one task's group, about.
 BIN_ROWS = 2_000
-#: Samples compared at a time.
-COMPARED = 1 << 20
+#: Band keys for each task, about, and of one task that are looked at together.
+KEYS_A_TASK = 1 << 20
+KEYS_HELD = 1 << 22
+#: Cells of sketches compared at a time.
+COMPARED = 1 << 21
+#: Cells of a sketch that are one in a coarse one.
+COARSE = 8
+#: What rounding of sketches can do, at most.
+ROUNDING = 1 - 1e-5
 
 
 def weighted_jaccard(x: tuple[np.ndarray, np.ndarray | None], y: tuple[np.ndarray, np.ndarray | None]) -> float:
@@ -40,11 +51,6 @@ def weighted_jaccard(x: tuple[np.ndarray, np.ndarray | None], y: tuple[np.ndarra
     return float(common / union) if union else 0.0
 
 
-def fetch(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``numbered`` whose numbers ``rows`` lists, written."""
-    return written(numbered.join(sized(rows.select("row").distinct(), "rows"), "row", "left_semi"), "texts")
-
-
 def _links(out: list[tuple[int, int, float]]) -> pa.Table:
     a, b, similarity = zip(*out, strict=True) if out else ((), (), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
@@ -53,7 +59,52 @@ def _links(out: list[tuple[int, int, float]]) -> pa.Table:
 LINKS = "a long, b long, similarity double"
 
 
-def verify(edges: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, row, first) of the keys that several rows have.  Of keys seen before only one row each is
+    kept, so that memory is bounded by the distinct keys of a task, however often one comes."""
+    known, firsts, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def found(keys, rows):
+        nonlocal known, firsts, told
+        order = np.lexsort((rows, keys))
+        keys, rows = keys[order], rows[order]
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        count = np.diff(np.append(start, len(keys)))
+        own, at = keys[start], np.searchsorted(known, keys[start])
+        old = np.zeros(len(own), bool)
+        old[at < len(known)] = known[at[at < len(known)]] == own[at < len(known)]
+        first = rows[start]
+        first[old] = firsts[at[old]]
+        late = at[old][~told[at[old]]]
+        several = np.repeat(old | (count > 1), count)
+        out = [np.concatenate(x) for x in ((keys[several], known[late]), (rows[several], firsts[late]), (np.repeat(first, count)[several], firsts[late]))]
+        told[late] = True
+        known, firsts, told = (np.insert(x, at[~old], y[~old]) for x, y in ((known, own), (firsts, first), (told, count > 1)))
+        return pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["key", "row", "first"])
+
+    some, n = [], 0
+    for batch in batches:
+        some.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= KEYS_HELD:
+            yield found(*map(np.concatenate, zip(*some, strict=True)))
+            some, n = [], 0
+    if n:
+        yield found(*map(np.concatenate, zip(*some, strict=True)))
+
+
+def buckets_of(reps: DataFrame) -> DataFrame:
+    """(key, row, first): the rows of every band key that several of ``reps`` have, and one of them, written.
+
+    Keys are shuffled once; a task tells at once which come again.
+    """
+    spark = reps.sparkSession
+    keys = reps.select(F.explode("bands").alias("key"), "row")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // KEYS_A_TASK))
+    return written(keys.repartition(tasks, "key").mapInArrow(_shared, "key long, row long, first long"), "buckets")
+
+
+def verify(edges: DataFrame, texts: DataFrame, matcher) -> DataFrame:
     """The edges (a, b) of at least the matcher's similarity, with it.
 
     Texts meet the leader ``a`` in groups of ``GROUP_ROWS``; a leader with more
@@ -62,8 +113,8 @@ def verify(edges: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
     """
     edges = written(edges, "edges")
     bins = max(1, -(-edges.count() // BIN_ROWS))
-    texts = fetch(numbered, edges.select(F.explode(F.array("a", "b")).alias("row")))
-    groups = edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
+    # Written, so that the join below is of two plain exchanges and Spark can split a leader of very many edges.
+    groups = sized(edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups")), "leaders")
     members = (
         edges.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups").cast("int"))
         .select("a", "salt", F.col("b").alias("row"), F.lit(1).alias("role"))
@@ -93,8 +144,32 @@ def verify(edges: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
     return written(met.groupBy("bin").applyInArrow(compare, LINKS), "verified")
 
 
+def sketches(features, cells: int) -> np.ndarray:
+    """Weight of each text's features by cell of their hashes (texts, cells)."""
+    shift = np.uint64(64 - (cells - 1).bit_length())
+    made = [np.bincount((hashes >> shift).astype(np.int64), weights, cells).astype(np.float32) for hashes, weights in features]
+    return np.stack(made) if made else np.zeros((0, cells), np.float32)
+
+
+def may_reach(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs (i, j) the sketches leave at ``similarity`` or more."""
+    total = sketch.sum(axis=1, dtype=np.float64)
+    least = similarity / (1 + similarity) * ROUNDING * (total[i] + total[j])
+    at = np.flatnonzero(np.minimum(total[i], total[j]) >= least)
+    for table in (sketch.reshape(len(sketch), -1, COARSE).sum(axis=2), sketch):
+        step, kept = max(1, COMPARED // table.shape[1]), []
+        for start in range(0, len(at), step):
+            some = at[start : start + step]
+            common = np.minimum(table[i[some]], table[j[some]]).sum(axis=1)
+            kept.append(some[common >= least[some]])
+        at = np.concatenate(kept) if kept else at
+    out = np.zeros(len(i), bool)
+    out[at] = True
+    return out
+
+
 def _compare_blocks(matcher):
-    def unit(how, at: range, rows, left, labels, bands, samples, held, band_key, out: list) -> None:
+    def unit(how, at: range, rows, left, labels, bands, sketch, held, band_key, out: list) -> None:
         """Compare the texts of one unit of blocks; ``held`` has the features of the texts of the task by place."""
         lo, hi = at.start, at.stop
         band = int(np.flatnonzero(bands[lo] == band_key)[0])
@@ -109,16 +184,18 @@ def _compare_blocks(matcher):
         sides = left[lo:hi]
         one_block = sides.all()
         lefts, right = lo + np.flatnonzero(sides), np.arange(lo, hi) if one_block else lo + np.flatnonzero(~sides)
-        step = max(1, COMPARED // max(1, len(right) * samples.shape[1]))
+        label, step = np.array(labels[lo:hi]), max(1, (1 << 18) // max(1, len(right)))
         for start in range(0, len(lefts), step):
             some = lefts[start : start + step]
-            near = (samples[some, None] == samples[None, right]).sum(axis=2) >= how.least_equal
+            apart = label[some - lo, None] != label[None, right - lo]
             if one_block:
-                near &= right > some[:, None]
-            k_of, j_of = np.nonzero(near)
+                apart &= right > some[:, None]
+            k_of, j_of = np.nonzero(apart)
             k_of, j_of = some[k_of], right[j_of]
             fresh = ~(bands[k_of, :band] == bands[j_of, :band]).any(axis=1)
-            for k, j in zip(k_of[fresh].tolist(), j_of[fresh].tolist(), strict=True):
+            k_of, j_of = k_of[fresh], j_of[fresh]
+            near = may_reach(sketch[lo:hi], k_of - lo, j_of - lo, how.similarity)
+            for k, j in zip(k_of[near].tolist(), j_of[near].tolist(), strict=True):
                 a, b = find(labels[k]), find(labels[j])
                 if a != b:
                     similarity = weighted_jaccard(held(k), held(j))
@@ -132,17 +209,17 @@ def _compare_blocks(matcher):
         texts, labels = table.column("text").to_pylist(), table.column("label").to_pylist()
         rows, left = table.column("row").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
-        samples, held = how.samples(texts), cache(lambda k: how.features(texts[k]))
+        sketch, held = sketches(how.features_of(texts), how.cells), lru_cache(1024)(lambda k: how.features(texts[k]))
         unit_of = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "kind", "j")])
         starts = [0, *(np.flatnonzero((unit_of[:, 1:] != unit_of[:, :-1]).any(axis=0)) + 1).tolist()]
         for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True):
-            unit(how, range(lo, hi), rows, left, labels, bands, samples, held, unit_of[0, lo], out)
+            unit(how, range(lo, hi), rows, left, labels, bands, sketch, held, unit_of[0, lo], out)
         return _links(out)
 
     return run
 
 
-def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
+def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, texts: DataFrame, matcher) -> DataFrame:
     """Further links within buckets (key, row) whose rows are in several components of ``links``."""
     labels = sized(components(links.select("a", "b")).withColumnRenamed("node", "row"), "labels")
     rows = written(buckets.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("label")), "bucket_rows")
@@ -154,6 +231,7 @@ def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, numbered:
         .where("n > in_main and n > 2")
         .select("key", "main", F.ceil((F.col("n") - F.col("in_main")) / BLOCK_ROWS).cast("int").alias("outs"), F.ceil(F.col("in_main") / BLOCK_ROWS).cast("int").alias("mains"))
     )
+    whole = sized(whole, "apart")
     split = rows.join(whole, "key").withColumn("out", F.col("label") != F.col("main"))
     split = split.withColumn("block", F.pmod(F.xxhash64("row"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains"))).cast("int"))
     outer = """
@@ -167,7 +245,8 @@ def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, numbered:
     )
     if units.isEmpty():
         return links
-    texts = fetch(numbered, units).join(reps.join(sized(units.select("row").distinct(), "rows"), "row", "left_semi"), "row")
+    some = sized(units.select("row").distinct(), "rows")
+    texts = texts.join(some, "row", "left_semi").join(reps.join(some, "row", "left_semi"), "row")
     bins = max(1, -(-units.count() // BIN_ROWS))
     of = F.pmod(F.xxhash64("key", "i", "kind", "j"), F.lit(bins)).alias("bin")
     met = units.join(texts, "row").select(of, "key", "i", "kind", "j", "row", "left", "label", "bands", "text")
@@ -176,11 +255,9 @@ def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, numbered:
 
 
 def candidate_links(reps: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
-    """Verified links (a, b, similarity) among ``reps`` (row, bands) that make up the classes."""
-    keys = reps.select("row", F.explode("bands").alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(keys.join(sized(firsts, "firsts"), "key").select("key", "row", "first"), "buckets")
+    """Verified links (a, b, similarity) among ``reps`` (row, bands; written) that make up the classes."""
+    buckets = buckets_of(reps)
+    met = sized(buckets.select("row").distinct(), "rows")
+    texts = written(numbered.join(met, "row", "left_semi"), "texts")
     edges = buckets.where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
-    return links_apart(buckets, reps, verify(edges, numbered, matcher), numbered, matcher)
-
-
+    return links_apart(buckets, reps, verify(edges, texts, matcher), texts, matcher)

@@ -12,10 +12,13 @@ documents together.  In each bucket all are compared with the first.  Buckets
 whose documents then are not all in one component are compared further, block
 by block: every document outside the largest component with all documents of
 other components, in the first band that the two share, so that no link between
-two texts of a bucket is lost and no pair is made twice.  Pairs of which fewer
-than ``LEAST_EQUAL`` samples of 64 agree are passed over (at similarity 0.8 that
-happens once in 100,000); all others are compared by weighted Jaccard similarity
-on all shingles.  Components of the links are the classes.
+two texts of a bucket is lost and no pair is made twice.  Whatever banding brings
+together is compared by weighted Jaccard similarity on all shingles, but for
+pairs that a bound on it rules out (``matching.may_reach``).  Components of the
+links are the classes.  The parameters of the samples are drawn for ``2 **
+DRAW_BITS`` classes of shingles, not for each shingle: shingles of one class are
+told apart by their weights and the hash that is kept, and agree as often as the
+similarity says also in texts of 20,000 words (see the tests).
 
 Defined results
     words are runs of letters, digits and underscores, in lower case.  Texts of
@@ -41,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ordinal, written
 from .graph import components
 from .matching import candidate_links
 
@@ -55,8 +58,8 @@ DRAW_BITS = 13
 #: Shingles sampled at once.
 CHUNK = 512
 SEED = 17
-#: Equal samples that a pair needs to be compared in full.
-LEAST_EQUAL = 38
+#: Cells of a text's sketch.
+CELLS = 1024
 MEMO_WORDS = 300_000
 _WORDS = re.compile(r"\w+").findall
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -217,7 +220,7 @@ def _sampler() -> Sampler:
 class Matcher:
     """How two documents are compared."""
 
-    similarity, least_equal = SIMILARITY, LEAST_EQUAL
+    similarity, cells = SIMILARITY, CELLS
 
     def __init__(self, make: Features):
         self.make = make
@@ -228,20 +231,17 @@ class Matcher:
     def features_of(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return map(self.features, texts)
 
-    def samples(self, texts: list[str]) -> np.ndarray:
-        return np.stack([_sampler()(*self.features(t)) for t in texts])
-
 
 def near_dedup(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, row, class_id, class_size, kept."""
     spark = docs.sparkSession
     numbered = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), ordinal(docs).alias("row"), F.col(text_col).alias("text")
     )
     matcher = spark.sparkContext.broadcast(Matcher(Features(*frequencies(numbered))))
-    table = written(signatures(numbered, matcher), "signatures")
+    table = written(signatures(numbered, matcher), "signatures", hashes=True)
     same = table.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"))
-    reps = table.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "bands")
+    reps = written(table.join(same.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "bands"), "distinct_texts", hashes=True)
     links = candidate_links(reps, numbered.select("row", "text"), matcher)
     parts = components(links.select("a", "b")).select(F.col("node").alias("rep"), "label")
     # Copies of one text take the class of their representative, part of the input by part.
