@@ -107,6 +107,18 @@ def test_evaluate(spark, tmp_path):
     assert report.dataset_summary([done["two"], done["one"]]).startswith("one ")
 
 
+def test_exports_defaults_and_appending(spark, tmp_path):
+    rows = spark.createDataFrame([("p", "s", 1)], "problem string, solution string, other int")
+    rows.write.parquet(str(tmp_path / "e"))
+    got = jsonl.read_export(spark, str(tmp_path / "e")).first()
+    assert got.asDict() == {"problem": "p", "solution": "s", "type": None, "level": None}
+    filled = jsonl.with_defaults(spark.createDataFrame([("p", None), ("q", 2)], "problem string, round int")).orderBy("problem").collect()
+    assert [(r.round, r.final_answer, r.type) for r in filled] == [(0, "", ""), (2, "", "")]
+    for _ in range(2):
+        jsonl.write_jsonl(rows, str(tmp_path / "out.jsonl"), append=True)
+    assert jsonl.read_export(spark, str(tmp_path / "out.jsonl")).count() == 2
+
+
 def test_boxed_loader_with_split(spark, tmp_path):
     raw = spark.createDataFrame([(f"p{k % 40}", "\\boxed{%d}" % (k % 40) if k % 8 else "none", "t", "l") for k in range(80)], "problem string, solution string, type string, level string")
     done = jsonl.split_boxed(raw, str(tmp_path / "train"), str(tmp_path / "test"))

@@ -25,8 +25,26 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(strip(F.col("value")) != "")
 
 
-def write_jsonl(df: DataFrame, path: str, explicit_nulls: bool = False) -> None:
-    df.write.option("ignoreNullFields", str(not explicit_nulls).lower()).json(path)
+def read_export(spark: SparkSession, path: str, schema: T.StructType = RAW_BOXED) -> DataFrame:
+    """A dataset as a hub exports it: Parquet, or JSON Lines where the path ends so; fields it lacks are null."""
+    rows = read_jsonl(spark, path, schema) if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    there = {c.lower() for c in rows.columns}
+    return rows.select(*[F.col(f.name).cast(f.dataType) if f.name.lower() in there else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+#: What absent fields of a record stand for.
+DEFAULTS = {"final_answer": "", "round": 0, "type": "", "level": ""}
+
+
+def with_defaults(rows: DataFrame, **defaults) -> DataFrame:
+    """``rows`` with ``DEFAULTS`` (or those given) for fields that are null or absent."""
+    defaults = defaults or DEFAULTS
+    return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in rows.columns else F.lit(v) for k, v in defaults.items()})
+
+
+def write_jsonl(df: DataFrame, path: str, explicit_nulls: bool = False, append: bool = False) -> None:
+    """One object a line; ``append`` adds files to those there are, each committed whole."""
+    df.write.mode("append" if append else "errorifexists").option("ignoreNullFields", str(not explicit_nulls).lower()).json(path)
 
 
 def fan_out(graded: DataFrame, outputs: dict[str, tuple[str, F.Column]], drop: tuple[str, ...] = ()) -> dict[str, int]:
