@@ -1,7 +1,16 @@
 """From documents to packed training sequences.
 
 Each stage takes what the one before kept, whole; its result is written to the
-shared folder and read again as the next one's ``docs``.
+shared folder and read again as the next one's ``docs``.  Duplicates go by
+bitmaps over the rows of the input (``common.without``), so that no text is
+shuffled to drop a row.
+
+Defined results
+    null text, and text without a letter, goes at ``language``; empty input
+    passes every stage and gives no rows.  Of texts equal or near to each other
+    one stays; repeated rows, with one id, count as copies.  Extra columns stay
+    as they are until ``packed``, which returns pieces; names used inside a
+    stage do not clash with them.
 """
 
 from __future__ import annotations
@@ -10,14 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import exactdedup, langid, neardedup, packing, pii
-from tracemill.llm.common import documents, unique_name, written
-
-
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose numbers ``decided`` (row) holds."""
-    row = unique_name(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(decided.select(F.col("row").alias(row)), row, "left_semi").drop(row)
+from tracemill.llm.common import documents, scratch, scratch_path, without, written
+from tracemill.llm.queries import surrogate_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +33,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest doc_id stays."""
-    return _kept(docs, exactdedup.exact_dedup(docs).where("kept"))
+    return without(docs, exactdedup.exact_dedup(docs).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate documents the smallest doc_id stays."""
-    return _kept(docs, neardedup.near_dedup(docs).where("kept"))
+    return without(docs, neardedup.near_dedup(docs).where("not kept"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets get surrogates."""
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return pii.pseudonymise(docs).select(*[new.get(c, F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
+    made = pii.pseudonymise(docs, key=surrogate_key(spark))
+    return made.select(*[new.get(c, F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+        path = scratch_path(spark, f"stage_{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
     return docs
