@@ -6,7 +6,8 @@ a keyed Feistel network permutes the numbers on the next even power of two;
 walking its cycle until the value is below N gives every sequence its global
 slot.  Rows go to shards by ranges of slots; each shard is one file of
 little-endian uint16 ids in which sequence k starts at byte ``k * 2 * length``,
-so a reader seeks to any slot and resumes there.
+so a reader seeks to any slot and resumes there (``read_from``).  The file
+``manifest.json`` beside the shards says how to read them.
 
 Spark's own text writer makes the files (any file system, commit by rename):
 the last id of every sequence is 0, whose last byte the writer sets as the line
@@ -17,14 +18,17 @@ Defined results
     in input order; the last sequence of a partition is padded with id 0 after
     ``used`` ids.  An empty input writes no shard.  Repeated rows are repeated;
     extra columns are not read.  Give a table or a checkpoint, whose partitions
-    are the same when a lost task runs again.
+    are the same when a lost task runs again.  An id that does not fit 16 bits
+    is an error.
 """
 
 from __future__ import annotations
 
-import zlib
+import json
 import zlib
 from collections.abc import Iterator
+from glob import escape as glob_escape
+from glob import glob
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +108,10 @@ def _cut(length: int, path: str | None):
                 texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
                 new = [held]
                 for doc, data in zip(batch.column(0).slice(at, 256).to_pylist(), words.batch(texts), strict=True):
-                    ids = np.frombuffer(data, "<u4").astype(np.uint16)
+                    ids = np.frombuffer(data, "<u4")
+                    if len(ids) and ids.max() > 0xFFFF:
+                        raise ValueError(f"id {ids.max()} does not fit the 16 bits of a shard's ids")
+                    ids = ids.astype(np.uint16)
                     new += [ids, np.zeros(1, np.uint16)]
                     docs.append((doc, len(ids) + 1))
                 held = np.concatenate(new)
@@ -162,28 +169,58 @@ def materialise(
         .select("shard", "value")
         .write.partitionBy("shard").option("lineSep", "\0").text(path)
     )
+    manifest = {"sequences": n, "length": length, "shard_sequences": shard_sequences, "key": key, "dtype": "uint16", "order": "little", "permutation": f"feistel-{ROUNDS}"}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json")
+    out = where.getFileSystem(conf).create(where, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
     return path, ordered.select("sequence", "slot", "shard", "used", "first_doc", "last_doc")
 
 
-def read_shards(spark, path: str, *, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, data: bool = True) -> DataFrame:
-    """Every sequence of the shards at ``path``: slot, ids_crc32 and, unless ``data`` is false, data."""
-    step = 2 * length
+def manifest_of(spark, path: str) -> dict:
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))
+
+
+def read_shards(spark, path: str, *, start: int = 0, data: bool = True) -> DataFrame:
+    """Every sequence of the shards at ``path`` from slot ``start`` on: slot,
+    ids_crc32 and, unless ``data`` is false, data.  Shards before it are not read."""
+    manifest = manifest_of(spark, path)
+    step, shard_sequences = 2 * manifest["length"], manifest["shard_sequences"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0), batch.column(1), strict=True):
                 # One file at a time, not copied.
-                view = memoryview(content.as_buffer())
-                rows = [view[k : k + step] for k in range(0, len(view), step)]
+                view, first = memoryview(content.as_buffer()), shard.as_py() * shard_sequences
+                skip = max(0, start - first)
+                rows = [view[k : k + step] for k in range(skip * step, len(view), step)]
                 out = {
-                    "slot": pa.array(np.arange(len(rows), dtype=np.int64) + shard.as_py() * shard_sequences),
+                    "slot": pa.array(np.arange(len(rows), dtype=np.int64) + first + skip),
                     "ids_crc32": pa.array(map(zlib.crc32, rows), pa.int64()),
                 }
                 if data:
                     out["data"] = pa.array(map(bytes, rows), pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int").alias("shard"), "content"
-    ).mapInArrow(run, "slot long, ids_crc32 long" + ", data binary" * data)
+    schema = "slot long, ids_crc32 long" + ", data binary" * data
+    if not manifest["sequences"]:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    shards = files.select(F.col("shard").cast("int").alias("shard"), "content").where(F.col("shard") >= start // shard_sequences)
+    return shards.mapInArrow(run, schema)
+
+
+def read_from(folder: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) of each sequence from ``slot`` on, for a trainer that sees the
+    folder as files: it seeks to the slot and reads on, one sequence in memory."""
+    with open(f"{folder}/manifest.json", encoding="utf-8") as f:
+        manifest = json.load(f)
+    length, per = manifest["length"], manifest["shard_sequences"]
+    while slot < manifest["sequences"]:
+        (name,) = glob(f"{glob_escape(folder)}/shard={slot // per}/part-*")
+        with open(name, "rb") as f:
+            f.seek(slot % per * 2 * length)
+            while row := f.read(2 * length):
+                yield slot, np.frombuffer(row, "<u2")
+                slot += 1
