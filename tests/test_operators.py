@@ -107,6 +107,28 @@ def test_evaluate(spark, tmp_path):
     assert report.dataset_summary([done["two"], done["one"]]).startswith("one ")
 
 
+def test_providers(spark):
+    from tracemill.operators import evaluate, provider
+
+    def load(settings):
+        def generate(prompts):
+            assert 0 < len(prompts) <= 2 and prompts[0][-1]["content"].startswith("Problem: ") and prompts[0][0]["content"] == settings.system
+            return [["\\boxed{" + str(len(p[-1]["content"]) - 9) + "}"] for p in prompts]
+
+        return generate
+
+    problems = spark.createDataFrame([("a", "1", None, None), ("bb", "2", None, None), ("ccc", "4", None, None)], "problem string, answer string, type string, level string").coalesce(1)
+    got = {r.problem: (r.final_answer, r.is_correct) for r in evaluate.predict(problems, provider.evaluated(load, batch=2), evaluate.BASELINE).collect()}
+    assert got == {"a": ("1", True), "bb": ("2", True), "ccc": ("3", False)}
+
+    def load_sampler(temperature, n):
+        return lambda prompts: [[(f"{p[-1]['content']} {k}", [-1.0 if p[-1]["content"] == "a" else -5.0, None]) for k in range(n)] for p in prompts]
+
+    ensure_checkpoint_dir(spark)
+    made = adaptive.adaptive_sample(problems, provider.sampled(load_sampler, batch=2), max_iters=1)
+    assert dict(made.groupBy("problem").count().collect()) == {"a": 3, "bb": 5, "ccc": 5} and made.where("answer = 'a 2' and round = 1").count() == 1
+
+
 def test_exports_defaults_and_appending(spark, tmp_path):
     rows = spark.createDataFrame([("p", "s", 1)], "problem string, solution string, other int")
     rows.write.parquet(str(tmp_path / "e"))

@@ -96,13 +96,15 @@ def quality_flags(rows: DataFrame, text: str = "text") -> DataFrame:
     """Flags of low quality of a trace; a null text has all but those of absence false."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.transform(F.split(t, "\n"), strip), lambda x: x != "")
-    counts = F.transform(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)))
+    # Of four equal lines the first and the last are three apart in order.
+    ordered = F.array_sort(lines)
+    fourfold = F.exists(F.zip_with(ordered, F.slice(ordered, 4, F.greatest(F.size(lines), F.lit(1))), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
     count_of = lambda s: F.length(t) - F.length(F.replace(t, F.lit(s), F.lit("")))
     return rows.withColumns(
         {
             "self_correction": F.exists(F.array(*map(F.lit, SELF_CORRECTION)), lambda s: F.contains(t, s)),
             # Four equal lines can only be where distinct ones are three fewer.
-            "repeated_lines": F.when(F.size(lines) - F.size(F.array_distinct(lines)) >= 3, F.exists(counts, lambda n: n >= 4)).otherwise(False),
+            "repeated_lines": F.when(F.size(lines) - F.size(F.array_distinct(lines)) >= 3, fourfold).otherwise(False),
             "no_boxed": ~F.contains(t, F.lit("\\boxed{")),
             "extreme_length": (F.length(t) < 200) | (F.length(t) > 3000),
             "artifacts": (count_of("$$") / 2 % 2 == 1) | (count_of("[") != count_of("]")),
