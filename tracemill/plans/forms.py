@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MONTHS, NUMBER
-from .fixtures import table
+from .fixtures import dealt, table
 
 FORMS = [
     r"<think>try 7</think> So \boxed{{q} \text{ units}}", r"\boxed{\$1,00{q}}", r"\boxed{\frac{2{q}}{2}}", r"\boxed{x+{q}}", r"\boxed{ {q} }", r"\boxed{}",
@@ -28,7 +28,8 @@ FORMS = [
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """form, problem, line, part, supp and answer of every line item."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = dealt(lines, "l_orderkey")
     form = F.expr(f"cast((l_orderkey * 7 + l_linenumber * 3 + l_partkey) % {len(FORMS)} as int)")
     text = F.replace(F.element_at(F.array(*map(F.lit, FORMS)), form + 1), F.lit("{q}"), F.col("l_quantity").cast("long").cast("string"))
     return lines.select(
