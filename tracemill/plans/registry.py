@@ -349,14 +349,13 @@ def answer_lengths(spark, sf_dir):
     return metrics.length_stats(table(spark, sf_dir, "conversations"), "role", "text").withColumnRenamed("role", "file")
 
 
-def letter_counts(texts: list[str]) -> np.ndarray:
-    """An encoder for tests: how often a text has each vowel, and one."""
-    return np.array([[*(t.count(c) for c in "aeiou"), 1.0] for t in texts]).reshape(-1, 6)
-
-
 @query("""WITH c AS (SELECT conv_id, "turn", list_concat(list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE)), [1.0::DOUBLE]) AS v FROM conversations)
   SELECT conv_id, "turn", round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(list_sum(v) / sqrt(list_dot_product(v, v)), 6) AS total FROM c""")
 def embed_texts(spark, sf_dir):
+    def letter_counts(texts: list[str]) -> np.ndarray:
+        """How often a text has each vowel, and one."""
+        return np.array([[*(t.count(c) for c in "aeiou"), 1.0] for t in texts]).reshape(-1, 6)
+
     made = dedup.embed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), letter_counts, "text")
     total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v)
     return made.select("conv_id", "turn", F.round(F.col("embedding")[0], 6).alias("first"), F.round(total, 6).alias("total"))
