@@ -59,7 +59,12 @@ def test_near_dedup(docs, empty):
     assert of[4][1] and of[5][1] and of[6][1] and of[None][1] and sum(r.kept for r in rows if r.doc_id == 7) == 1
 
 
-def test_near_dedup_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("text_bytes", [16_384, 8])
+def test_near_dedup_against_brute_force(spark, tmp_path, monkeypatch, text_bytes):
+    from tracemill.llm import matching
+
+    # As if texts were long: the smallest groups and blocks.
+    monkeypatch.setattr(matching, "TEXT_BYTES", text_bytes)
     r, rows = random.Random(3), []
     for g in range(12):
         base = prose(100 + g, 80).split()

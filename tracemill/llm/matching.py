@@ -29,6 +29,10 @@ GROUP_ROWS = 256
 BLOCK_ROWS = 512
 #: Texts in one task's group, about.
 BIN_ROWS = 2_000
+#: Bytes of a text for which these numbers are meant; of longer ones fewer are taken together.
+TEXT_BYTES = 16_384
+#: Texts of one side of a block, however long they are.
+LEAST_ROWS = 8
 #: Band keys for each task, about, and of one task that are looked at together.
 KEYS_A_TASK = 1 << 20
 KEYS_HELD = 1 << 22
@@ -104,7 +108,12 @@ def buckets_of(reps: DataFrame) -> DataFrame:
     return written(keys.repartition(tasks, "key").mapInArrow(_shared, "key long, row long, first long"), "buckets")
 
 
-def verify(edges: DataFrame, texts: DataFrame, matcher) -> DataFrame:
+def _scale(texts: DataFrame) -> int:
+    """By how much fewer texts than for ``TEXT_BYTES`` are taken together."""
+    return max(1, int((texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0) / TEXT_BYTES))
+
+
+def verify(edges: DataFrame, texts: DataFrame, matcher, scale: int = 1) -> DataFrame:
     """The edges (a, b) of at least the matcher's similarity, with it.
 
     Texts meet the leader ``a`` in groups of ``GROUP_ROWS``; a leader with more
@@ -112,9 +121,10 @@ def verify(edges: DataFrame, texts: DataFrame, matcher) -> DataFrame:
     many groups.
     """
     edges = written(edges, "edges")
-    bins = max(1, -(-edges.count() // BIN_ROWS))
+    bins = max(1, -(-edges.count() * scale // BIN_ROWS))
+    group_rows = max(LEAST_ROWS, GROUP_ROWS // scale)
     # Written, so that the join below is of two plain exchanges and Spark can split a leader of very many edges.
-    groups = sized(edges.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups")), "leaders")
+    groups = sized(edges.groupBy("a").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("groups")), "leaders")
     members = (
         edges.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups").cast("int"))
         .select("a", "salt", F.col("b").alias("row"), F.lit(1).alias("role"))
@@ -219,8 +229,9 @@ def _compare_blocks(matcher):
     return run
 
 
-def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, texts: DataFrame, matcher) -> DataFrame:
+def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, texts: DataFrame, matcher, scale: int = 1) -> DataFrame:
     """Further links within buckets (key, row) whose rows are in several components of ``links``."""
+    block_rows = max(LEAST_ROWS, BLOCK_ROWS // scale)
     labels = sized(components(links.select("a", "b")).withColumnRenamed("node", "row"), "labels")
     rows = written(buckets.join(labels, "row", "left").select("key", "row", F.coalesce("label", "row").alias("label")), "bucket_rows")
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -229,7 +240,7 @@ def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, texts: Da
         .agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("n"))
         # Two documents apart have been compared already.
         .where("n > in_main and n > 2")
-        .select("key", "main", F.ceil((F.col("n") - F.col("in_main")) / BLOCK_ROWS).cast("int").alias("outs"), F.ceil(F.col("in_main") / BLOCK_ROWS).cast("int").alias("mains"))
+        .select("key", "main", F.ceil((F.col("n") - F.col("in_main")) / block_rows).cast("int").alias("outs"), F.ceil(F.col("in_main") / block_rows).cast("int").alias("mains"))
     )
     whole = sized(whole, "apart")
     split = rows.join(whole, "key").withColumn("out", F.col("label") != F.col("main"))
@@ -247,7 +258,7 @@ def links_apart(buckets: DataFrame, reps: DataFrame, links: DataFrame, texts: Da
         return links
     some = sized(units.select("row").distinct(), "rows")
     texts = texts.join(some, "row", "left_semi").join(reps.join(some, "row", "left_semi"), "row")
-    bins = max(1, -(-units.count() // BIN_ROWS))
+    bins = max(1, -(-units.count() * scale // BIN_ROWS))
     of = F.pmod(F.xxhash64("key", "i", "kind", "j"), F.lit(bins)).alias("bin")
     met = units.join(texts, "row").select(of, "key", "i", "kind", "j", "row", "left", "label", "bands", "text")
     more = met.groupBy("bin").applyInArrow(_compare_blocks(matcher), LINKS)
@@ -260,4 +271,5 @@ def candidate_links(reps: DataFrame, numbered: DataFrame, matcher) -> DataFrame:
     met = sized(buckets.select("row").distinct(), "rows")
     texts = written(numbered.join(met, "row", "left_semi"), "texts")
     edges = buckets.where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
-    return links_apart(buckets, reps, verify(edges, texts, matcher), texts, matcher)
+    scale = _scale(texts)
+    return links_apart(buckets, reps, verify(edges, texts, matcher, scale), texts, matcher, scale)
