@@ -20,7 +20,7 @@ from .grade import grade
 
 @dataclass(frozen=True)
 class Settings:
-    """What a provider is asked for; no system text at all is ''."""
+    """What a provider is asked for (fixed values: the defaults); no system text at all is ''."""
 
     temperature: float = 0.6
     top_p: float = 0.95
@@ -32,7 +32,7 @@ class Settings:
     repetition_min_len: int = 4
 
 
-#: A base model is asked as the trained ones are: what they were told, no tags to clean.
+#: Fixed value: a base model is told what the trained ones were; it has no tags to clean.
 BASELINE = replace(Settings(), system="Solve the problem step by step. Show your reasoning clearly. Put your final answer in \\boxed{}.")
 
 Provider = Callable[[DataFrame, Settings], DataFrame]
