@@ -48,6 +48,11 @@ def test_left_alone(spark, text):
     assert r.text == text and not r.entities
 
 
+def test_secrets_of_letters(spark):
+    (r,) = run(spark, "password = 'correcthorse' and token: letters")
+    assert [e.kind for e in r.entities] == ["secret"] and "correcthorse" not in r.text and r.text.endswith("' and token: letters")
+
+
 def test_against_brute_force(spark):
     """Distinct entities have distinct surrogates, one entity one, and all other text is as it was."""
     mails = [f"user{k}@host{k % 7}.org" for k in range(300)]

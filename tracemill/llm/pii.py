@@ -10,8 +10,8 @@ without it surrogates can be recomputed by nobody.
 What is found
     e-mail addresses (local part of up to 64 characters, up to 16 labels);
     secrets, that is values after a key word (password, token and so on), quoted
-    or not, and ``=`` or ``:``, if they hold a digit or another sign than a
-    letter, and keys with the prefix AKIA or ASIA; IBANs; IPv4 addresses; US
+    or not, and ``=`` or ``:``, unquoted ones if they hold a digit or another sign
+    than a letter, and keys with the prefix AKIA or ASIA; IBANs; IPv4 addresses; US
     social security numbers; card numbers of 13 to 19 digits that start with 2
     to 6 and pass Luhn's test (of 13 digits only those that start with 4); phone
     numbers with a country or area code; names after a title and, in the texts
@@ -95,7 +95,7 @@ def kind_of(match: Column) -> Column:
             body = F.substring(digits, F.lit(1), F.length(digits) - 1)
             holds = F.rlike(digits, F.lit(r"^(?:4\d{12}|[2-6]\d{13,18})$")) & (_luhn(body) == digits)
         if kind == "secret":
-            holds = F.rlike(secret_value(match), F.lit(r"\P{L}"))
+            holds = F.rlike(secret_value(match), F.lit(r"\P{L}")) | F.rlike(match, F.lit(r"[=:]\s*[\"']"))
         out = out.when(F.rlike(match, F.lit(f"^(?:{pattern})$")), F.when(holds, F.lit(kind)))
     return out
 
