@@ -34,7 +34,7 @@ TEXT_BYTES = 16_384
 #: Texts of one side of a block, however long they are.
 LEAST_ROWS = 8
 #: Band keys for each task, about, and of one task that are looked at together.
-KEYS_A_TASK = 1 << 20
+KEYS_A_TASK = 1 << 22
 KEYS_HELD = 1 << 22
 #: Cells of sketches compared at a time.
 COMPARED = 1 << 21
