@@ -117,6 +117,27 @@ def test_tokens_match_the_libraries():
     assert all(b >= a for t, i in zip(texts, ids, strict=True) for a, b in bpe.spans(t, i))
 
 
+def test_words_by_arrays(monkeypatch):
+    """Contractions, long words and texts cut at white space give the library's ids; words kept are encoded once."""
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 1 << 6)
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 256)
+    r = random.Random(3)
+    texts = ["".join(r.choice("'strevmdlS9!²é  ") for _ in range(r.randint(0, 900))) for _ in range(300)]
+    texts += ["a" * n + " it's 'some" for n in (63, 64, 65, 3000)] + ["a\u0085b\x1cc''s", "", "'"]
+    words = tokens.WordIds(public_tokenizers.path(tokens.WORD_FILE))
+    assert words.by_array
+    direct = [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.batch(texts) == words.batch(texts) == direct and words.store.n == 1 << 6
+    monkeypatch.undo()
+    words, sent, encode = tokens.WordIds(public_tokenizers.path(tokens.WORD_FILE)), [], tokens.WordIds._encode
+    monkeypatch.setattr(tokens.WordIds, "_encode", lambda self, some: (sent.extend(some), encode(self, some))[1])
+    assert words.batch(texts) == direct
+    seen = {w for w in sent if len(w) <= tokens.HASHED_CHARS}
+    assert len(seen) == sum(len(w) <= tokens.HASHED_CHARS for w in sent) == words.store.n
+    words.by_array = False
+    assert words.batch(texts) == direct
+
+
 def test_byte_bpe(docs, empty):
     rows = {r.doc_id: r for r in bytebpe.round_trip_digests(docs).collect()}
     assert rows[4].n_tokens == rows[5].n_tokens == 0 and bytebpe.round_trip_digests(empty).count() == 0
