@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -268,6 +269,20 @@ def test_long_near_copies():
         assert abs(np.mean(agreed) - np.mean(similar)) < 0.05
 
 
+def test_features_cost_little_more_than_hashes():
+    """The features of many lines are those of each, and take less than 3.5 times as long as their hashes alone."""
+    r = random.Random(4)
+    lines = ["".join(r.choice("abcdefgh ") for _ in range(r.choice([3, 8, 330, 600]))) for _ in range(3000)]
+    best = {}
+    for _ in range(5):
+        for name, make in (("hashes", lambda: [linededup.shingle_hashes(lines[k : k + 256]) for k in range(0, len(lines), 256)]), ("features", lambda: list(linededup.Matcher().features_of(lines)))):
+            start = time.process_time()
+            made = make()
+            best[name] = min(best.get(name, 9e9), time.process_time() - start)
+    assert all((f == linededup.Matcher().features(line)[0]).all() for (f, _), line in zip(made, lines, strict=True))
+    assert best["features"] < 3.5 * best["hashes"]
+
+
 def test_lines_against_all_pairs(spark, tmp_path):
     """Classes of lines are those of all pairs at 0.8; of a class the first line stays."""
     r, lines = random.Random(6), []

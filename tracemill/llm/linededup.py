@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,11 @@ def canonical(line: str) -> str:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,15 +69,14 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     width = 1
     base = _BASE
     while width < SHINGLE_CHARS:  # of twice as many characters each time
-        x = x[: len(x) - width] * np.uint64(base) + x[width:]
-        base, width = base * base & _MASK, 2 * width
+        here = x[: len(x) - width] * np.uint64(base)
+        here += x[width:]
+        x, base, width = here, base * base & _MASK, 2 * width
     lengths = np.array([len(line) for line in lines])
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    counts = lengths - SHINGLE_CHARS + 1
-    owner = np.repeat(np.arange(len(lines)), counts)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    at = np.arange(counts.sum()) - first[owner] + starts[owner]
-    return _mix(x[at]), owner
+    # What begins at the last characters of a line, or between lines, is none.
+    within = np.ones(len(x), bool)
+    within[(np.cumsum(lengths[:-1] + 1)[:, None] - np.arange(1, SHINGLE_CHARS + 1)).ravel()] = False
+    return _mix(x[within]), np.repeat(np.arange(len(lines)), lengths - SHINGLE_CHARS + 1)
 
 
 @cache
@@ -89,7 +91,11 @@ def bins(lines: list[str]) -> np.ndarray:
     hashes, owner = shingle_hashes(lines)
     empty = np.uint64(1 << 32)
     out = np.full(len(lines) * size, empty)
-    cell = owner * size + ((hashes >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+    cell = hashes >> np.uint64(32)
+    cell *= np.uint64(size)
+    cell >>= np.uint64(32)
+    cell = cell.view(np.int64)
+    cell += owner * size
     np.minimum.at(out, cell, hashes & np.uint64(0xFFFFFFFF))
     out = out.reshape(-1, size)
     # Each empty bin tries the others in its own order, so that in lines of few shingles, too, bins agree one by one.
@@ -135,8 +141,9 @@ class Matcher:
 
     def _block(self, lines: list[str]) -> Iterator[tuple[np.ndarray, None]]:
         hashes, owner = shingle_hashes(lines)
-        order = np.lexsort((hashes, owner))
-        hashes, owner = hashes[order], owner[order]
+        ends = np.searchsorted(owner, np.arange(len(lines)), "right").tolist()
+        for lo, hi in pairwise([0, *ends]):
+            hashes[lo:hi].sort()
         first = np.ones(len(hashes), bool)
         first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
         hashes, owner = hashes[first], owner[first]

@@ -70,14 +70,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found(keys, rows):
         nonlocal known, firsts, told
-        order = np.lexsort((rows, keys))
+        order = np.argsort(keys)
         keys, rows = keys[order], rows[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         count = np.diff(np.append(start, len(keys)))
         own, at = keys[start], np.searchsorted(known, keys[start])
         old = np.zeros(len(own), bool)
         old[at < len(known)] = known[at[at < len(known)]] == own[at < len(known)]
-        first = rows[start]
+        first = np.minimum.reduceat(rows, start)
         first[old] = firsts[at[old]]
         late = at[old][~told[at[old]]]
         several = np.repeat(old | (count > 1), count)
@@ -104,7 +104,8 @@ def buckets_of(reps: DataFrame) -> DataFrame:
     """
     spark = reps.sparkSession
     keys = reps.select(F.explode("bands").alias("key"), "row")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // KEYS_A_TASK))
+    n = reps.agg(F.sum(F.size("bands"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // KEYS_A_TASK))
     return written(keys.repartition(tasks, "key").mapInArrow(_shared, "key long, row long, first long"), "buckets")
 
 
