@@ -15,6 +15,9 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,29 @@ from tracemill.llm import exactdedup, langid, neardedup, packing, pii
 from tracemill.llm.common import documents, scratch, scratch_path, without, written
 from tracemill.llm.queries import surrogate_key
 
+#: Bytes of rows, about, that a Python worker is sent at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` with batches of ``BATCH_BYTES`` for Python workers, unless the session names a bound.
+
+    Spark's own is 64 MB: each task holds as much, and more while it grows, on
+    either side of the pipe, and what one stage took stays with the executor's
+    processes for those after it.  A longer row is a batch of its own.  As the
+    result of a stage runs after it returns, the bound is held for the session.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Predict every document's language; those in which none is found go."""
     labels, prototypes = langid.fit(docs)
@@ -31,16 +56,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*[F.col("lang_pred" if c == "lang" else f"record.`{c}`").alias(c) for c in docs.columns])
 
 
+@small_batches
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest doc_id stays."""
     return without(docs, exactdedup.exact_dedup(docs).where("not kept"))
 
 
+@small_batches
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate documents the smallest doc_id stays."""
     return without(docs, neardedup.near_dedup(docs).where("not kept"))
 
 
+@small_batches
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets get surrogates."""
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
@@ -48,6 +76,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return made.select(*[new.get(c, F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
 
 
+@small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of 2048."""
     return packing.pack(docs).drop("row")

@@ -51,3 +51,18 @@ def test_run(spark, docs, pipeline, tmp_path):
     (tmp_path / "none").mkdir()
     again.write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_batches_of_python_workers_are_bounded_in_bytes(spark, pipeline, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["row", "n", "bytes"])
+
+    monkeypatch.setattr(pipeline.packing, "pack", lambda docs: docs.mapInArrow(sizes, "row long, n long, bytes long"))
+    docs = spark.newSession().range(0, 6_000, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefgh ', if(id = 7, 1000000, 500)) AS text")
+    got = pipeline.packed(docs.sparkSession, docs, "").collect()
+    assert len(got) > 6 and sum(r.n for r in got) == 6_000 and sum(r.bytes for r in got) > 35_000_000
+    # The long text comes whole; the others beside it are no more than a batch.
+    assert sorted(r.bytes for r in got)[-2] < 5 << 20 and max(r.bytes for r in got) < 14 << 20
