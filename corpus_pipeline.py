@@ -22,26 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import exactdedup, langid, neardedup, packing, pii
-from tracemill.llm.common import documents, scratch, scratch_path, without, written
+from tracemill.llm.common import bound_batches, documents, scratch, scratch_path, without, written
 from tracemill.llm.queries import surrogate_key
 
-#: Bytes of rows, about, that a Python worker is sent at once.
-BATCH_BYTES = 4 << 20
-
 
 def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """``stage`` with batches of ``BATCH_BYTES`` for Python workers, unless the session names a bound.
-
-    Spark's own is 64 MB: each task holds as much, and more while it grows, on
-    either side of the pipe, and what one stage took stays with the executor's
-    processes for those after it.  A longer row is a batch of its own.  As the
-    result of a stage runs after it returns, the bound is held for the session.
-    """
+    """``stage`` with small batches for Python workers (``bound_batches``)."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        bound_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -59,6 +60,24 @@ def test_near_dedup(docs, empty):
     assert of[4][1] and of[5][1] and of[6][1] and of[None][1] and sum(r.kept for r in rows if r.doc_id == 7) == 1
 
 
+def test_near_dedup_sends_python_workers_small_batches(spark, tmp_path, monkeypatch):
+    seen, plain = [], neardedup.frequencies
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    def frequencies(numbered):
+        seen.extend(numbered.mapInArrow(sizes, "n long, bytes long").collect())
+        return plain(numbered)
+
+    monkeypatch.setattr(neardedup, "frequencies", frequencies)
+    spark.range(0, 6_000, 1, 1).selectExpr("id AS doc_id", "repeat('abcdefgh ', 500) AS text").write.parquet(str(tmp_path / "d"))
+    rows = neardedup.near_dedup(spark.newSession().read.parquet(str(tmp_path / "d"))).collect()
+    assert len(rows) == 6_000 and [r.doc_id for r in rows if r.kept] == [0]
+    assert sum(r.n for r in seen) == 6_000 and sum(r.bytes for r in seen) > 27_000_000 and max(r.bytes for r in seen) < 5 << 20
+
+
 @pytest.mark.parametrize("text_bytes", [16_384, 8])
 def test_near_dedup_against_brute_force(spark, tmp_path, monkeypatch, text_bytes):
     from tracemill.llm import matching

@@ -82,6 +82,21 @@ def written(df: DataFrame, name: str, path: str | None = None, *, level: int = 3
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows, about, that a Python worker is sent at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_BYTES`` for Python workers, held for the session, unless it names a bound.
+
+    Spark's own is 64 MB: each task holds as much, and more while it grows, on
+    either side of the pipe, and what one stage took stays with the executor's
+    processes for those after it.  A longer row is a batch of its own.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 #: Rows of a few numbers each that may be broadcast.
 BROADCAST_ROWS = 500_000
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordinal, written
+from .common import bound_batches, ordinal, written
 from .graph import components
 from .matching import candidate_links
 
@@ -235,6 +235,7 @@ class Matcher:
 def near_dedup(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, row, class_id, class_size, kept."""
     spark = docs.sparkSession
+    bound_batches(spark)
     numbered = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), ordinal(docs).alias("row"), F.col(text_col).alias("text")
     )
