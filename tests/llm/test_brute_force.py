@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import time
 import zlib
@@ -47,6 +48,34 @@ def test_shards_do_not_depend_on_files(spark, tmp_path):
     assert {(r.shard, r.slot): (r.record.doc_id, r.record.text) for r in again} != places[0]
 
 
+def test_shards_send_no_records_to_python(spark, tmp_path, monkeypatch):
+    made, plain = [], sharding.written
+
+    def written(df, name, *args, **options):
+        made.append((name, df))
+        return plain(df, name, *args, **options)
+
+    monkeypatch.setattr(sharding, "written", written)
+    rows = [(i, f"text {i} " + "x" * (i % 50)) for i in range(600)] + [(None, None), (7, ""), (7, "")]
+    got, n = sharding.external_shuffle(table(spark, tmp_path / "d", rows), seed=3, bucket_bytes=8_000)
+    (shuffled,) = [df for name, df in made if name == "shuffled"]
+    nodes = str(shuffled._jdf.queryExecution().optimizedPlan()).splitlines()
+    python = [line for line in nodes if re.search("InArrow|InPandas|EvalPython", line)]
+    assert python and not any("record" in line for line in python)
+    # The places grow with the rows: never broadcast.
+    assert any("strategy=merge" in line for line in nodes)
+    # Each bucket: its rows in the order of key and place, shuffled by Fisher-Yates.
+    by = {}
+    for r in got.withColumn("key", F.xxhash64(F.lit(3), "record.doc_id", "record.text")).collect():
+        by.setdefault(r.bucket, []).append((r.pos, r.key))
+    assert n == len(rows) == sum(map(len, by.values())) and len(by) > 3
+    for bucket, found in by.items():
+        keys = sorted(k for _, k in found)
+        order = np.arange(len(keys))
+        np.random.Generator(np.random.PCG64([3, bucket])).shuffle(order)
+        assert sorted(found) == [(pos, keys[rank]) for pos, rank in enumerate(order)]
+
+
 def test_shards_of_repeated_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sharding, "REPEATS", 10)
     got, _ = sharding.external_shuffle(table(spark, tmp_path / "d", [(1, "same")] * 400), bucket_bytes=1_000)

@@ -3,10 +3,12 @@
 Pass one scatters records uniformly, by a seeded hash of their id and text, into
 buckets that fit a worker's memory.  Pass two puts each bucket into a canonical
 order, shuffles it by Fisher-Yates with a generator seeded by (seed, bucket) and
-writes it.  Bucket after bucket, the written rows are one random permutation of
-the input; contiguous runs of it are the shards, so that their row counts differ
-by one at most (law ``rows``).  The number of buckets depends on the bytes of the
-input alone: the same rows come out alike from any files and on any cluster.
+writes it; Python draws the places from a bucket's number of rows alone, so that
+no record passes through a Python worker.  Bucket after bucket, the written rows
+are one random permutation of the input; contiguous runs of it are the shards, so
+that their row counts differ by one at most (law ``rows``).  The number of buckets
+depends on the bytes of the input alone: the same rows come out alike from any
+files and on any cluster.
 
 Defined results
     null and empty texts are records like any other, null ids too; repeated rows
@@ -21,13 +23,12 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ordinal, sized, text_size, written
 
@@ -36,21 +37,19 @@ REPEATS = 1_000
 
 
 def _fisher_yates(seed: int):
-    def shuffle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        order = pc.sort_indices(table, sort_keys=[("key", "ascending"), ("ord", "ascending")]).to_numpy().copy()
-        np.random.Generator(np.random.PCG64([seed, bucket])).shuffle(order)
-        out = table.take(pa.array(order)).combine_chunks()
-        n = out.num_rows
-        return pa.table(
-            {
-                "bucket": pa.array(np.full(n, bucket, np.int64)),
-                "pos": pa.array(np.arange(n, dtype=np.int64)),
-                "record": out.column("record"),
-            }
-        )
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, rows in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rows")), strict=True):
+                order = np.arange(rows, dtype=np.uint64)
+                np.random.Generator(np.random.PCG64([seed, bucket])).shuffle(order)
+                place = np.empty(rows, np.int32)
+                place[order] = np.arange(rows, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int64()), pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), pa.array(place))],
+                    names=["bucket", "places"],
+                )
 
-    return shuffle
+    return places
 
 
 def external_shuffle(
@@ -77,14 +76,15 @@ def external_shuffle(
     repeated = base.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > REPEATS).select("key", F.lit(True).alias("repeated"))
     place = F.when(F.col("repeated"), F.xxhash64(F.lit(seed), "ord")).otherwise(F.xxhash64(F.lit(seed), "key"))
     scattered = base.join(sized(repeated, "repeated"), "key", "left").select(F.pmod(place, F.lit(buckets)).alias("bucket"), "key", "ord", "record")
-    schema = T.StructType(
-        [
-            T.StructField("bucket", T.LongType()),
-            T.StructField("pos", T.LongType()),
-            T.StructField("record", base.schema["record"].dataType),
-        ]
+    # A place for each row of a bucket, in canonical order.  Spark takes these arrays for small, so the join says not to broadcast them.
+    places = scattered.groupBy("bucket").agg(F.count("*").alias("rows")).mapInArrow(_fisher_yates(seed), "bucket long, places array<int>")
+    canonical = Window.partitionBy("bucket").orderBy("key", "ord")
+    shuffled = (
+        scattered.withColumn("rank", F.row_number().over(canonical) - 1)
+        .join(places.hint("merge"), "bucket")
+        .select("bucket", F.col("places")[F.col("rank")].cast("long").alias("pos"), "record")
+        .sortWithinPartitions("bucket", "pos")
     )
-    shuffled = scattered.groupBy("bucket").applyInArrow(_fisher_yates(seed), schema)
     return written(shuffled, "shuffled", path), n
 
 
